@@ -1,0 +1,108 @@
+"""Secret scans: keyword, key-id and hex patterns, and sliding-window Shannon entropy by incremental counts. Native expressions only.
+
+The entropy scan takes candidate runs of base64 or hex letters, keeps the counts of the characters of a window of fixed length in an array
+and, per step, changes only the counts of the character that enters and the one that leaves, and with them the running sum of c*log2(c).
+A run whose highest window entropy reaches the threshold of its character class is a span of kind ``entropy``, unless the allow-list knows it.
+
+Nulls: a null text is the empty text; a null doc_id stays. Repeated rows each give a row. Long texts take linear time.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from tarnlake.llm import common as C
+
+#: Fixed values.
+KINDS = ("assign", "access", "hex", "entropy")
+BASE = KINDS[:3]
+PATTERNS = {
+    "assign": r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]++""",
+    "access": r"AKIA[A-Z0-9]++",
+    "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+",
+    "entropy": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}",
+}
+GUARDS = {
+    "assign": lambda t: (F.contains(t, F.lit("=")) | F.contains(t, F.lit(":"))) & t.rlike(r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=]"""),
+    "access": lambda t: F.contains(t, F.lit("AKIA")),
+    "hex": lambda t: t.rlike(r"[0-9a-f]{24}"),
+    "entropy": lambda t: t.rlike(r"[0-9]") & t.rlike(r"[A-Za-z0-9+/_-]{20}"),
+}
+#: Window length, and the least entropy in bits a character by class of the run.
+WINDOW, BITS = 20, {"hex": 2.9, "base64": 3.6}
+#: Runs that are known not to be secrets: UUIDs, dates and versions, file-like names, repeated placeholders, data-URI names.
+ALLOW = r"(?i)^(?:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|[0-9-]+|.*(?:example|sample|dummy|placeholder|changeme|xxxx|1234567890).*|[a-z]+(?:[_/-][a-z]+)+[0-9]{0,3}|(?:[a-z]+[/_-])*[a-z]+[0-9]{1,4})$"
+
+
+def window_entropy(run: Column, window: int = WINDOW) -> Column:
+    """The highest Shannon entropy, in bits a character, of any window of that many characters; of the whole run where it is shorter."""
+    letters = F.split(run, "")
+    alphabet = F.array_distinct(letters)
+    terms = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)))
+    term = lambda c: F.get(terms, c)
+    width = F.least(F.lit(window), F.size(letters))
+
+    def step(acc: Column, i: Column) -> Column:
+        came, left = F.get(letters, i), F.when(i >= window, F.get(letters, i - window))
+        at_in = F.array_position(alphabet, came).cast("int") - 1
+        at_out = F.coalesce(F.array_position(alphabet, left).cast("int") - 1, F.lit(-1))
+        same = at_in == at_out
+        n_in, n_out = F.get(acc["n"], at_in), F.coalesce(F.get(acc["n"], F.when(at_out >= 0, at_out)), F.lit(0))
+        total = (
+            acc["t"]
+            + F.when(same, 0.0).otherwise(term(F.least(n_in + 1, F.lit(window))) - term(n_in))
+            + F.when(same | (at_out < 0), 0.0).otherwise(term(F.greatest(n_out - 1, F.lit(0))) - term(n_out))
+        )
+        full = i + 1 >= width
+        return F.struct(
+            F.transform(acc["n"], lambda c, k: c + F.when(k == at_in, 1).otherwise(0) - F.when(k == at_out, 1).otherwise(0)).alias("n"),
+            total.alias("t"),
+            F.when(full, F.least(acc["low"], total)).otherwise(acc["low"]).alias("low"),
+        )
+
+    start = F.struct(F.transform(alphabet, lambda _: F.lit(0)).alias("n"), F.lit(0.0).alias("t"), F.lit(1e9).alias("low"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(letters) - 1), start, step, lambda acc: F.log2(width.cast("double")) - acc["low"] / width)
+
+
+def _kept(kind: str, x: Column) -> Column:
+    if kind == "assign":
+        value = F.regexp_extract(x["m"], r"""^(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)$""", 1)
+        return F.length(value) >= 6
+    if kind in ("access", "hex"):
+        return F.length(x["m"]) >= {"access": 20, "hex": 24}[kind]
+    bits = F.when(x["m"].rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), BITS["hex"]).otherwise(BITS["base64"])
+    return ~x["m"].rlike(ALLOW) & (window_entropy(x["m"]) >= bits)
+
+
+def _confirmed(kind: str) -> Column:
+    return F.filter(F.col(f"_raw_{kind}"), lambda x: _kept(kind, x))
+
+
+def find_spans(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds an array of spans for each kind, as ``_<kind>``."""
+    out = df.withColumn("_text", C.text_of(df, text))
+    for kind in KINDS:
+        out = out.withColumn(f"_raw_{kind}", C.match_spans(F.col("_text"), PATTERNS[kind], GUARDS[kind](F.col("_text"))))
+    for kind in KINDS:
+        kept = _confirmed(kind)
+        out = out.withColumn(f"_{kind}", F.when(F.size(f"_raw_{kind}") > 0, kept).otherwise(F.col(f"_raw_{kind}"))).drop(f"_raw_{kind}")
+    return out
+
+
+def scan(df: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id with counts, digest and list of its secrets."""
+    found = find_spans(df.select("doc_id", text), text)
+    base = F.concat(*(C.tagged(F.col(f"_{k}"), k, i) for i, k in enumerate(BASE)))
+    every = F.concat(*(C.tagged(F.col(f"_{k}"), k, i) for i, k in enumerate(KINDS)))
+    return (
+        found.withColumn("_base", C.joined(base))
+        .withColumn("spans", C.joined(every))
+        .select("doc_id", *(F.size(f"_{k}").cast("long").alias(f"n_{k}") for k in BASE), F.sha2("_base", 256).alias("base_sha256"), "spans", F.size("_entropy").cast("long").alias("n_entropy"))
+    )
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return scan(C.table(spark, sf_dir, "documents"))
