@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import pii, secrets
+from tarnlake.llm import decontaminate, pii, secret_scan, sharding, urlfilter
 
 
 def queries() -> dict:
     return {
-        "op1_secrets": secrets.op1_secrets,
+        "op1_secrets": secret_scan.op1_secrets,
+        "op3_sharding": sharding.op3_sharding,
+        "op6_url_filter": urlfilter.op6_url_filter,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
         "op10_pii": pii.op10_pii,
     }
 
