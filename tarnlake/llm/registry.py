@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import decontaminate, pii, secret_scan, sharding, urlfilter
+from tarnlake.llm import decontaminate, pii, quality, secret_scan, sharding, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_secrets": secret_scan.op1_secrets,
         "op3_sharding": sharding.op3_sharding,
+        "op5_quality": quality.op5_quality,
         "op6_url_filter": urlfilter.op6_url_filter,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op10_pii": pii.op10_pii,
