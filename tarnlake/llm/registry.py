@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import decontaminate, pii, quality, secret_scan, sharding, simhash, urlfilter
+from tarnlake.llm import decontaminate, pii, quality, secret_scan, sharding, simhash, suffix_dedup, urlfilter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_quality": quality.op5_quality,
         "op6_url_filter": urlfilter.op6_url_filter,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_simhash": simhash.op9_simhash,
         "op10_pii": pii.op10_pii,
     }
