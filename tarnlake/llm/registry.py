@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import decontaminate, pii, quality, secret_scan, sharding, simhash, suffix_dedup, urlfilter
+from tarnlake.llm import decontaminate, packing, pii, quality, secret_scan, sharding, simhash, suffix_dedup, urlfilter
 
 
 def queries() -> dict:
     return {
         "op1_secrets": secret_scan.op1_secrets,
+        "op2_packing": packing.op2_packing,
         "op3_sharding": sharding.op3_sharding,
         "op5_quality": quality.op5_quality,
         "op6_url_filter": urlfilter.op6_url_filter,
