@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import decontaminate, packing, pii, quality, secret_scan, sharding, simhash, suffix_dedup, urlfilter
+from tarnlake.llm import decontaminate, html_extract, packing, pii, quality, secret_scan, sharding, simhash, suffix_dedup, urlfilter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_secrets": secret_scan.op1_secrets,
         "op2_packing": packing.op2_packing,
         "op3_sharding": sharding.op3_sharding,
+        "op4_html": html_extract.op4_html,
         "op5_quality": quality.op5_quality,
         "op6_url_filter": urlfilter.op6_url_filter,
         "op7_decontaminate": decontaminate.op7_decontaminate,
