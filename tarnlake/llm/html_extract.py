@@ -48,6 +48,7 @@ LABELLED = (
     (6, 0.0, 2, 1.0, 66, 0.0, 0.5, 0, 1), (5, 0.0, 47, 0.0, 81, 0.0, 0.5, 0, 1), (8, 0.0, 70, 0.0, 35, 0.0, 0.5, 0, 1), (19, 0.2, 28, 0.0, 31, 0.0, 0.5, 0, 1),
     (3, 1.0, 2, 1.0, 4, 1.0, 0.5, 0, 0), (7, 1.0, 60, 0.0, 5, 1.0, 0.5, 0, 0), (30, 0.9, 2, 1.0, 6, 1.0, 0.5, 0, 0), (16, 0.7, 50, 0.0, 8, 1.0, 0.5, 0, 0),
     (4, 0.0, 3, 1.0, 3, 1.0, 0.5, 0, 0), (6, 0.1, 4, 1.0, 0, 0.0, 0.5, 0, 0), (2, 0.0, 0, 0.0, 3, 1.0, 0.5, 0, 0), (5, 0.4, 9, 0.6, 2, 1.0, 0.5, 0, 0),
+    (9, 0.0, 3, 1.0, 5, 0.0, 1, 0, 1), (1, 0.0, 2, 1.0, 3, 0.0, 1, 0, 1), (40, 0.0, 2, 1.0, 0, 0.0, 1, 0, 1), (5, 0.0, 4, 1.0, 12, 1.0, 1, 0, 1), (4, 1.0, 3, 1.0, 8, 0.0, 1, 0, 1),
     (60, 0.0, 45, 0.0, 3, 0.0, 0.5, 0, 1), (27, 0.0, 70, 0.0, 0, 0.0, 0.5, 0, 1), (150, 0.02, 0, 0.0, 0, 0.0, 0.5, 0, 1), (48, 0.0, 20, 1.0, 9, 1.0, 0.5, 0, 1),
     (40, 0.0, 33, 0.0, 90, 0.0, 0, 0, 0), (8, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0), (15, 0.0, 20, 0.0, 44, 0.0, 0, 0, 0), (130, 0.0, 6, 0.0, 75, 0.0, 0, 0, 0),
     (26, 0.1, 2, 1.0, 31, 0.0, 0, 0, 0), (57, 0.0, 66, 0.0, 28, 0.0, 0, 0, 0), (2, 0.0, 1, 1.0, 140, 0.0, 0, 0, 0), (80, 0.0, 9, 0.0, 52, 0.1, 0, 0, 0),
