@@ -35,27 +35,23 @@ TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]{0,20000}"|'[^']{0
 HINT_ATTRIBUTES = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "in_main", "in_boiler")
-#: The labelled table: features in that order, then 1 for text of the article. in_main is 0.5 on pages without such an element.
-LABELLED = (
-    (84, 0.0, 61, 0.0, 73, 0.0, 1, 0, 1), (12, 0.0, 90, 0.0, 55, 0.0, 1, 0, 1), (1, 0.0, 40, 0.0, 38, 0.0, 1, 0, 1), (7, 0.0, 9, 0.0, 120, 0.0, 1, 0, 1),
-    (140, 0.08, 66, 0.0, 52, 0.0, 1, 0, 1), (33, 0.5, 41, 0.0, 60, 0.0, 1, 0, 1), (4, 1.0, 58, 0.0, 70, 0.0, 1, 0, 1), (2, 1.0, 0, 0.0, 2, 1.0, 1, 0, 1),
-    (18, 0.0, 0, 0.0, 0, 0.0, 1, 0, 1), (260, 0.0, 5, 0.0, 0, 0.0, 1, 0, 1), (3, 0.0, 6, 1.0, 44, 0.0, 1, 0, 1), (9, 0.2, 3, 0.0, 4, 0.0, 1, 0, 1),
-    (3, 1.0, 4, 1.0, 2, 1.0, 1, 1, 0), (25, 0.0, 80, 0.0, 64, 0.0, 1, 1, 0), (9, 0.0, 52, 0.0, 47, 0.0, 1, 1, 0), (70, 0.0, 33, 0.0, 12, 0.0, 1, 1, 0),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (5, 1.0, 0, 0.0, 7, 1.0, 0, 1, 0), (8, 0.0, 6, 1.0, 11, 0.0, 0, 1, 0), (14, 0.1, 95, 0.0, 0, 0.0, 0, 1, 0),
-    (64, 0.0, 30, 0.0, 20, 0.0, 0, 1, 0), (120, 0.0, 64, 0.0, 2, 0.0, 0, 1, 0), (6, 0.0, 0, 0.0, 9, 0.0, 0, 0, 0), (22, 0.0, 11, 0.0, 13, 0.0, 0, 0, 0),
-    (45, 0.3, 3, 1.0, 10, 0.0, 0, 0, 0), (3, 1.0, 88, 0.0, 2, 1.0, 0, 0, 0), (95, 0.0, 77, 0.0, 0, 0.0, 0, 0, 0), (1, 0.0, 0, 0.0, 1, 0.0, 0, 0, 0),
+#: The labelled table, in two parts. Neighbourhoods (the first six features) as they occur, each seen in five kinds of container: what is in
+#: a main element is the article's, what is in boilerplate or beside a main element isn't.
+SEEN = (
+    (84, 0.0, 61, 0.0, 73, 0.0), (12, 0.0, 90, 0.0, 55, 0.0), (1, 0.0, 40, 0.0, 38, 0.0), (7, 0.0, 9, 0.0, 120, 0.0), (140, 0.08, 66, 0.0, 52, 0.0), (33, 0.5, 41, 0.0, 60, 0.0),
+    (4, 1.0, 58, 0.0, 70, 0.0), (2, 1.0, 0, 0.0, 2, 1.0), (18, 0.0, 0, 0.0, 0, 0.0), (260, 0.0, 5, 0.0, 0, 0.0), (3, 0.0, 6, 1.0, 44, 0.0), (9, 0.2, 3, 0.0, 4, 0.0),
+    (9, 0.0, 3, 1.0, 5, 0.0), (40, 0.0, 2, 1.0, 0, 0.0), (5, 0.0, 4, 1.0, 12, 1.0), (64, 0.0, 30, 0.0, 2, 1.0), (1, 0.0, 2, 1.0, 3, 0.0), (22, 0.0, 11, 0.0, 13, 0.0),
+)
+CONTAINERS = ((1, 0, 1), (1, 1, 0), (0, 0, 0), (0, 1, 0), (0.5, 1, 0))
+#: Blocks of pages without a main element (in_main is 0.5), not in boilerplate: all features, then 1 for text of the article.
+BARE = (
     (75, 0.0, 48, 0.0, 92, 0.0, 0.5, 0, 1), (38, 0.05, 5, 0.0, 57, 0.0, 0.5, 0, 1), (110, 0.1, 3, 1.0, 60, 0.0, 0.5, 0, 1), (21, 0.0, 40, 0.0, 4, 0.0, 0.5, 0, 1),
     (6, 0.0, 2, 1.0, 66, 0.0, 0.5, 0, 1), (5, 0.0, 47, 0.0, 81, 0.0, 0.5, 0, 1), (8, 0.0, 70, 0.0, 35, 0.0, 0.5, 0, 1), (19, 0.2, 28, 0.0, 31, 0.0, 0.5, 0, 1),
+    (60, 0.0, 45, 0.0, 3, 0.0, 0.5, 0, 1), (27, 0.0, 70, 0.0, 0, 0.0, 0.5, 0, 1), (150, 0.02, 0, 0.0, 0, 0.0, 0.5, 0, 1), (48, 0.0, 20, 1.0, 9, 1.0, 0.5, 0, 1),
     (3, 1.0, 2, 1.0, 4, 1.0, 0.5, 0, 0), (7, 1.0, 60, 0.0, 5, 1.0, 0.5, 0, 0), (30, 0.9, 2, 1.0, 6, 1.0, 0.5, 0, 0), (16, 0.7, 50, 0.0, 8, 1.0, 0.5, 0, 0),
     (4, 0.0, 3, 1.0, 3, 1.0, 0.5, 0, 0), (6, 0.1, 4, 1.0, 0, 0.0, 0.5, 0, 0), (2, 0.0, 0, 0.0, 3, 1.0, 0.5, 0, 0), (5, 0.4, 9, 0.6, 2, 1.0, 0.5, 0, 0),
-    (9, 0.0, 3, 1.0, 5, 0.0, 1, 0, 1), (1, 0.0, 2, 1.0, 3, 0.0, 1, 0, 1), (40, 0.0, 2, 1.0, 0, 0.0, 1, 0, 1), (5, 0.0, 4, 1.0, 12, 1.0, 1, 0, 1), (4, 1.0, 3, 1.0, 8, 0.0, 1, 0, 1),
-    (60, 0.0, 45, 0.0, 3, 0.0, 0.5, 0, 1), (27, 0.0, 70, 0.0, 0, 0.0, 0.5, 0, 1), (150, 0.02, 0, 0.0, 0, 0.0, 0.5, 0, 1), (48, 0.0, 20, 1.0, 9, 1.0, 0.5, 0, 1),
-    (40, 0.0, 33, 0.0, 90, 0.0, 0, 0, 0), (8, 0.0, 0, 0.0, 60, 0.0, 0, 0, 0), (15, 0.0, 20, 0.0, 44, 0.0, 0, 0, 0), (130, 0.0, 6, 0.0, 75, 0.0, 0, 0, 0),
-    (26, 0.1, 2, 1.0, 31, 0.0, 0, 0, 0), (57, 0.0, 66, 0.0, 28, 0.0, 0, 0, 0), (2, 0.0, 1, 1.0, 140, 0.0, 0, 0, 0), (80, 0.0, 9, 0.0, 52, 0.1, 0, 0, 0),
-    (9, 0.0, 5, 1.0, 85, 0.0, 0, 1, 0), (31, 0.0, 40, 0.0, 66, 0.0, 0, 1, 0), (2, 1.0, 2, 1.0, 50, 0.0, 0, 1, 0), (11, 0.0, 77, 0.0, 39, 0.0, 0.5, 1, 0),
-    (55, 0.0, 62, 0.0, 71, 0.0, 1, 1, 0), (13, 0.0, 48, 0.0, 90, 0.0, 1, 1, 0), (5, 0.5, 30, 0.0, 29, 0.0, 1, 1, 0), (20, 0.0, 12, 0.0, 33, 0.0, 0, 1, 0),
-    (12, 1.0, 0, 0.0, 70, 0.0, 0.5, 1, 0), (40, 0.0, 52, 0.0, 44, 0.0, 0.5, 1, 0), (3, 0.0, 60, 0.0, 0, 0.0, 0.5, 1, 0), (90, 0.0, 3, 0.0, 5, 0.0, 0.5, 1, 0),
 )
+LABELLED = tuple((*seen, *container) for seen in SEEN for container in CONTAINERS) + BARE
 
 
 def train(table=LABELLED, depth: int = 6):
