@@ -40,7 +40,7 @@ FEATURES = ("words", "link_density", "words_before", "links_before", "words_afte
 SEEN = (
     (84, 0.0, 61, 0.0, 73, 0.0), (12, 0.0, 90, 0.0, 55, 0.0), (1, 0.0, 40, 0.0, 38, 0.0), (7, 0.0, 9, 0.0, 120, 0.0), (140, 0.08, 66, 0.0, 52, 0.0), (33, 0.5, 41, 0.0, 60, 0.0),
     (4, 1.0, 58, 0.0, 70, 0.0), (2, 1.0, 0, 0.0, 2, 1.0), (18, 0.0, 0, 0.0, 0, 0.0), (260, 0.0, 5, 0.0, 0, 0.0), (3, 0.0, 6, 1.0, 44, 0.0), (9, 0.2, 3, 0.0, 4, 0.0),
-    (9, 0.0, 3, 1.0, 5, 0.0), (40, 0.0, 2, 1.0, 0, 0.0), (5, 0.0, 4, 1.0, 12, 1.0), (64, 0.0, 30, 0.0, 2, 1.0), (1, 0.0, 2, 1.0, 3, 0.0), (22, 0.0, 11, 0.0, 13, 0.0),
+    (4, 1.0, 3, 1.0, 8, 0.0), (5, 1.0, 30, 0.0, 0, 0.0), (30, 0.3, 20, 0.0, 1, 0.0), (9, 0.0, 3, 1.0, 5, 0.0), (40, 0.0, 2, 1.0, 0, 0.0), (5, 0.0, 4, 1.0, 12, 1.0), (64, 0.0, 30, 0.0, 2, 1.0), (1, 0.0, 2, 1.0, 3, 0.0), (22, 0.0, 11, 0.0, 13, 0.0),
 )
 CONTAINERS = ((1, 0, 1), (1, 1, 0), (0, 0, 0), (0, 1, 0), (0.5, 1, 0))
 #: Blocks of pages without a main element (in_main is 0.5), not in boilerplate: all features, then 1 for text of the article.
