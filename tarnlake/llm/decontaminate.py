@@ -130,6 +130,14 @@ def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, least_items: int =
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, size: int = SIZE, least_items: int = 1) -> DataFrame:
+    """The rows, with all their columns, in which windows of fewer than ``least_items`` items occur."""
+    found, owners = hits(docs.select("doc_id", "text"), items, size)
+    named = found.select("doc_id", "text_hash", "window").distinct().join(owners, "window").groupBy("doc_id", "text_hash").agg(F.countDistinct("item_id").alias("n"))
+    bad = C.written(named.filter(F.col("n") >= least_items).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "contaminated")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark hits of every document."""
     return scan(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))

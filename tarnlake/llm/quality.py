@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tarnlake.llm import common as C
 
@@ -143,24 +143,51 @@ def measures(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], [f.split()[0] for f in SCHEMA.split(", ")])
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Parts of batches of about BATCH_CHARS, one row at least, with their texts."""
     for b in batches:
-        ids, texts = b.column(0).cast(pa.int64()), pc.fill_null(b.column(1).cast(pa.large_string()), "")
+        texts = pc.fill_null(b.column(text).cast(pa.large_string()), "")
         size = np.cumsum(pc.binary_length(texts).to_numpy())
         at = 0
         while at < len(texts):
             end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + BATCH_CHARS, "right")))
-            yield measures(ids.slice(at, end - at), pa.concat_arrays([texts.slice(at, end - at)]))
+            yield b.slice(at, end - at), pa.concat_arrays([texts.slice(at, end - at)])
             at = end
 
 
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, texts in _slices(batches, "text"):
+        yield measures(rows.column("doc_id").cast(pa.int64()), texts)
+
+
+def verdicts(prefix: str = "") -> tuple[Column, Column]:
+    """base_failed, and rejected by this operator's own limits, from the counts."""
+    c = lambda name: F.col(prefix + name)
+    failed = (c("n_words") < 20) | (c("n_repeat_words") * 100 > c("n_words") * 30)
+    repetitive = (c("n_repeat_words") > c("n_words") * MOST_COVERED) | ((c("longest_repeat") >= LONGEST_WORDS) & (c("longest_repeat") > c("n_words") * LONGEST_FRACTION))
+    junk = (c("n_symbols") > c("n_words") * MOST_SYMBOLS) | (c("n_stutter") > c("n_words") * MOST_STUTTER)
+    return failed, repetitive | junk
+
+
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id and all counts of the quality rules, with base_failed and kept."""
+    failed, rejected = verdicts()
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_batches, SCHEMA)
-    failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    repetitive = (F.col("n_repeat_words") > F.col("n_words") * MOST_COVERED) | ((F.col("longest_repeat") >= LONGEST_WORDS) & (F.col("longest_repeat") > F.col("n_words") * LONGEST_FRACTION))
-    junk = (F.col("n_symbols") > F.col("n_words") * MOST_SYMBOLS) | (F.col("n_stutter") > F.col("n_words") * MOST_STUTTER)
-    return found.withColumn("base_failed", failed).withColumn("kept", ~(failed | repetitive | junk))
+    return found.withColumn("base_failed", failed).withColumn("kept", ~(failed | rejected))
+
+
+def keep(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that the rules keep; nothing is joined or shuffled."""
+    prefix, names = "_quality_", [f.split()[0] for f in SCHEMA.split(", ")][1:]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in _slices(batches, text):
+            counts = measures(pa.nulls(len(texts), pa.int64()), texts)
+            yield pa.RecordBatch.from_arrays([*rows.columns, *counts.columns[1:]], [*rows.schema.names, *(prefix + n for n in names)])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + n, T.LongType()) for n in names)])
+    failed, rejected = verdicts(prefix)
+    return docs.mapInArrow(run, schema).filter(~(failed | rejected)).select(*docs.columns)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,6 +224,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, pro
     return prints.join(kept, "text_key").filter("doc_id <> keep_id").select("doc_id", "keep_id")
 
 
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """The rows, with all their columns, of documents that no other one stands for; rows without a doc_id stay."""
+    copies = C.written(near_duplicates(docs, **options).select(F.col("doc_id").alias("_id")), "copies")
+    return docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return group(C.table(spark, sf_dir, "documents"))
