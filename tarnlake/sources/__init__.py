@@ -1 +1 @@
-
+"""Catalog, delimited text, clustered tables and statistics."""
