@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarnlake.llm import decontaminate, html_extract, packing, pii, quality, secret_scan, sharding, simhash, suffix_dedup, urlfilter
+from tarnlake.llm import decontaminate, html_extract, oracles, packing, pii, quality, secret_scan, sharding, simhash, suffix_dedup, urlfilter
 
 
 def queries() -> dict:
@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLES)

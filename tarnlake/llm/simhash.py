@@ -207,6 +207,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, pro
     of ``size`` words is at least ``similarity``, exactly verified, joined into groups of which the least doc_id stays.
 
     Candidates come from fingerprints of distinct ``probe``-word shingles, which differ in few bits at that similarity, under many masks.
+    Rows that share an id stand or fall together, compared by the text of the least MD5; rows without an id take no part.
     """
     prints = C.written(fingerprints(docs.filter(F.col("doc_id").isNotNull()), probe, distinct=True), "fingerprints")
     texts = C.written(prints.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "texts")
@@ -217,7 +218,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, pro
     same = texts.join(nodes, "fp").filter("rep <> least").select(F.col("least").alias("u"), F.col("rep").alias("v"))
     pairs = C.written(pairs.unionByName(same), "candidates")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    needed = C.written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidate-texts")
+    needed = C.written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text")), "candidate-texts")
     joined = pairs.join(needed.select(F.col("doc_id").alias("u"), F.col("text").alias("a_text")), "u").join(needed.select(F.col("doc_id").alias("v"), F.col("text").alias("b_text")), "v")
     stars = components(joined.select("u", "v", "a_text", "b_text").mapInArrow(_similar(size, similarity), "u long, v long"))
     kept = texts.join(stars, texts["rep"] == stars["u"], "left").select("text_key", F.coalesce("root", "rep").alias("keep_id"))
