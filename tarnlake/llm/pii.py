@@ -101,7 +101,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows with every span replaced by its kind in angle brackets; of overlapping spans the one that starts first stands for all."""
-    found = find_spans(df, text)
+    found = find_spans(df.select(F.struct(*(df[c] for c in df.columns)).alias("_row"), df[text]), text)
     every = F.array_sort(F.concat(*(C.tagged(F.col(f"_{k}"), k, i) for i, k in enumerate(KINDS))))
     cleaned = F.aggregate(
         F.col("_every"),
@@ -114,7 +114,8 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         ),
         lambda acc: F.concat(acc["out"], F.substring(F.col("_text"), acc["at"] + 1, 2147483647 - acc["at"])),
     )
-    return found.withColumn("_every", every).withColumn(text, F.when(F.size("_every") > 0, cleaned).otherwise(F.col(text))).select(*df.columns)
+    new = F.when(F.size("_every") > 0, cleaned).otherwise(F.col(text))
+    return found.withColumn("_every", every).select(*(new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in df.columns))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

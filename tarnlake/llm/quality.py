@@ -179,6 +179,8 @@ def measure(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows, with all their columns, that the rules keep; nothing is joined or shuffled."""
     prefix, names = "_quality_", [f.split()[0] for f in SCHEMA.split(", ")][1:]
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in _slices(batches, text):
