@@ -95,6 +95,12 @@ class Catalog:
             rows = rows.repartitionByRange(info.sort_attribute).sortWithinPartitions(info.sort_attribute)
         rows.write.mode(mode).parquet(self.path(name))
 
+    def clear(self, name: str) -> None:
+        """Removes a table's rows, and what was known about them."""
+        info = self.info(name)
+        self.spark.createDataFrame([], info.struct()).write.mode("overwrite").parquet(self.path(name))
+        info.rows, info.distinct = None, {}
+
     def append(self, name: str, df: DataFrame) -> None:
         self.write(name, df, "append")
 

@@ -8,7 +8,7 @@ from tarnlake.functions.expr import Kind
 from tarnlake.operators import relops as R
 from tarnlake.plans.parser import parse
 from tarnlake.plans.session import Engine
-from tarnlake.sources import textio
+from tarnlake.sources import scan, textio
 from tarnlake.sources.catalog import Catalog, CatalogError
 
 PAIRS = [(3, 4.04), (1, 1.01), (2, 9.09), (4, 2.02), (5, 13.13), (6, 7.07), (7, 3.03), (8, 11.11), (10, 6.06), (9, 8.08), (11, 12.12), (12, 5.05), (13, 10.10)]
@@ -137,3 +137,15 @@ def test_continuous_load(spark, tmp_path):
     text_file(folder, "2.tbl", ["3|c|"])
     streaming.load_available(streaming.text_stream(spark, str(folder), {"i": Kind.INT, "s": Kind.STRING}), out, state).awaitTermination(60)
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_stretches_of_a_scan(spark, engine):
+    df = spark.range(0, 100, 1, 4)
+    assert sorted(r.id for r in scan.partition_range(df, 1, 2).collect()) == list(range(25, 75))
+    assert sum(r.id for r in scan.iterate(df)) == 4950
+    engine.execute("create table t (a INT)", lambda _: None)
+    engine.catalog.write("t", df.select(F.col("id").cast("int").alias("a")))
+    engine.catalog.append("t", df.limit(1).select(F.col("id").cast("int").alias("a")))
+    assert engine.table("t").count() == 101
+    engine.catalog.clear("t")
+    assert engine.table("t").count() == 0 and engine.catalog.statistics("t") is None
