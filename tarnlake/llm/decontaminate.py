@@ -3,8 +3,8 @@
 1. Frequencies of the benchmark's words over the whole corpus.
 2. Each benchmark window (``size`` words; a shorter item is one window) picks its two rarest words as pivots.
 3. The index: postings (term, document, position) of all pivot words over the whole corpus, each with the words around it, written as a table.
-4. A window's two lists, each shifted by the word's place in the window, are intersected on (document, start); the words around the rarest
-   one then confirm the exact phrase.
+4. A window's two lists, each shifted by the word's place in the window, are intersected on (document, start), the rarest word's first being
+   held against the words around it, which confirm the exact phrase.
 
 Words that are a pivot of no window can't start a candidate, so their postings aren't stored; the corpus is never shuffled, only postings are.
 The benchmark is broadcast in blocks of at most BLOCK windows, so a larger benchmark means more passes and never a larger broadcast.
@@ -56,35 +56,39 @@ def frequencies(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """The positional index of the given terms: term, doc_id, text_hash, n_words, pos, first and around, the words from place ``first`` on.
 
-    ``terms`` has term, before and after: how many words on either side a query may need.
+    ``terms`` has term, before and after: how many words on either side a query may need; nulls for terms that no phrase is confirmed from.
     """
     flat = tokens(docs).select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "term"))
     kept = flat.join(F.broadcast(terms), "term")
     first = F.greatest(F.col("pos") - F.col("before"), F.lit(0))
-    return kept.select(
-        "term", "doc_id", "text_hash", F.size("words").alias("n_words"), "pos", first.alias("first"), F.slice("words", first + 1, F.col("pos") - first + F.col("after") + 1).alias("around")
-    )
+    around = F.when(F.col("before").isNotNull(), F.slice("words", first + 1, F.col("pos") - first + F.col("after") + 1))
+    return kept.select("term", "doc_id", "text_hash", F.size("words").alias("n_words"), "pos", F.when(F.col("before").isNotNull(), first).alias("first"), around.alias("around"))
 
 
 def pivots(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """window, term, place, n_terms and rank (1: the rarest, 2: the next) of windows whose words all stand in the corpus."""
-    flat = windows.select("window", F.posexplode(F.split("window", " ")).alias("place", "term"))
-    ranked = flat.join(F.broadcast(counts), "term", "left").groupBy("window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "place", "term"))).alias("all"))
-    chosen = ranked.filter(F.col("all")[0]["n"] > 0).select("window", F.size("all").alias("n_terms"), F.posexplode(F.slice("all", 1, 2)).alias("rank", "t"))
-    return chosen.select("window", F.col("t.term").alias("term"), F.col("t.place").alias("place"), "n_terms", (F.col("rank") + 1).alias("rank"))
+    """id, window, term, place, n_terms and rank (1: the rarest, 2: the next) of windows (id, window) whose words all stand in the corpus."""
+    flat = windows.select("id", "window", F.posexplode(F.split("window", " ")).alias("place", "term"))
+    ranked = flat.join(F.broadcast(counts), "term", "left").groupBy("id", "window").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "place", "term"))).alias("all"))
+    chosen = ranked.filter(F.col("all")[0]["n"] > 0).select("id", "window", F.size("all").alias("n_terms"), F.posexplode(F.slice("all", 1, 2)).alias("rank", "t"))
+    return chosen.select("id", "window", F.col("t.term").alias("term"), F.col("t.place").alias("place"), "n_terms", (F.col("rank") + 1).alias("rank"))
 
 
 def phrase_hits(index: DataFrame, chosen: DataFrame) -> DataFrame:
-    """doc_id, text_hash, window, start, n_terms of the exact occurrences: the two shifted lists meet, and the phrase is confirmed."""
-    start = F.col("pos") - F.col("place")
-    lists = (
-        index.join(F.broadcast(chosen), "term")
-        .withColumn("start", start)
-        .filter((F.col("start") >= 0) & (F.col("start") + F.col("n_terms") <= F.col("n_words")))
-        .withColumn("exact", (F.col("rank") == 1) & (F.array_join(F.slice("around", F.col("start") - F.col("first") + 1, F.col("n_terms")), " ") == F.col("window")))
-    )
-    met = lists.groupBy("doc_id", "text_hash", "window", "start", "n_terms").agg(F.bit_or(F.col("rank")).alias("lists"), F.max("exact").alias("exact"))
-    return met.filter(F.col("exact") & (F.col("lists") == F.when(F.col("n_terms") > 1, 3).otherwise(1))).drop("lists", "exact")
+    """doc_id, text_hash, id (of the window), start, n_terms of the exact occurrences.
+
+    The rarest word's list, shifted by its place, gives starts, which the words around it confirm; they are then intersected with the next
+    rarest word's shifted list.
+    """
+
+    def shifted(rank: int) -> DataFrame:
+        lists = index.join(F.broadcast(chosen.filter(F.col("rank") == rank)), "term").withColumn("start", F.col("pos") - F.col("place"))
+        return lists.filter((F.col("start") >= 0) & (F.col("start") + F.col("n_terms") <= F.col("n_words")))
+
+    exact = F.array_join(F.slice("around", F.greatest(F.col("start") - F.col("first") + 1, F.lit(1)), F.col("n_terms")), " ") == F.col("window")
+    one = shifted(1).filter(exact).select("doc_id", "text_hash", "id", "start", "n_terms")
+    two = shifted(2).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("id").alias("_id"), F.col("start").alias("_start"))
+    meet = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")) & (F.col("id") == F.col("_id")) & (F.col("start") == F.col("_start"))
+    return one.filter("n_terms = 1").unionByName(one.filter("n_terms > 1").join(two, meet, "left_semi")).distinct()
 
 
 def proximity(index: DataFrame, one: str, other: str, gap: int) -> DataFrame:
@@ -95,16 +99,17 @@ def proximity(index: DataFrame, one: str, other: str, gap: int) -> DataFrame:
 
 
 def hits(docs: DataFrame, items: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
-    """All occurrences of benchmark windows in the corpus, and the windows' items."""
-    owners = C.written(windows_of(items, size), "windows")
-    windows = owners.select("window").distinct()
+    """All occurrences of benchmark windows in the corpus, and the items (item_id) of the windows (id)."""
+    owned = C.written(windows_of(items, size), "owned")
+    windows = C.written(owned.select("window").distinct().withColumn("id", F.monotonically_increasing_id()), "windows")
     counts = C.written(frequencies(docs, windows.select(F.explode(F.split("window", " ")).alias("term")).distinct()), "frequencies")
     chosen = C.written(pivots(windows, counts), "pivots")
     found = []
-    for block in _blocks(chosen, "window", 2 * BLOCK):
-        terms = block.groupBy("term").agg(F.max("place").alias("before"), F.max(F.col("n_terms") - F.col("place") - 1).alias("after"))
+    for block in _blocks(chosen, "id", 2 * BLOCK):
+        rarest = lambda c: F.max(F.when(F.col("rank") == 1, c))
+        terms = block.groupBy("term").agg(rarest(F.col("place")).alias("before"), rarest(F.col("n_terms") - F.col("place") - 1).alias("after"))
         found.append(phrase_hits(C.written(postings(docs, terms), "postings"), block))
-    return C.written(reduce(DataFrame.unionByName, found), "hits"), owners
+    return C.written(reduce(DataFrame.unionByName, found), "hits"), owned.join(windows, "window").select("id", "item_id")
 
 
 def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, least_items: int = 2) -> DataFrame:
@@ -113,7 +118,7 @@ def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, least_items: int =
     found, owners = hits(docs, items, size)
     key = ["doc_id", "text_hash"]
     covered = found.select(*key, "start", "n_terms").distinct().select(*key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n_terms") - 1)).alias("pos")).distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n_hit"))
-    named = found.select(*key, "window").distinct().join(owners, "window").select(*key, "item_id").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("item_id")).alias("hit_items"))
+    named = found.select(*key, "id").distinct().join(owners, "id").select(*key, "item_id").distinct().groupBy(*key).agg(F.array_sort(F.collect_list("item_id")).alias("hit_items"))
     per_doc = tokens(docs).select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"))
     for side in (covered, named):
         side = side.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), *side.columns[2:])
@@ -133,7 +138,7 @@ def scan(docs: DataFrame, items: DataFrame, size: int = SIZE, least_items: int =
 def clean(docs: DataFrame, items: DataFrame, size: int = SIZE, least_items: int = 1) -> DataFrame:
     """The rows, with all their columns, in which windows of fewer than ``least_items`` items occur."""
     found, owners = hits(docs.select("doc_id", "text"), items, size)
-    named = found.select("doc_id", "text_hash", "window").distinct().join(owners, "window").groupBy("doc_id", "text_hash").agg(F.countDistinct("item_id").alias("n"))
+    named = found.select("doc_id", "text_hash", "id").distinct().join(owners, "id").groupBy("doc_id", "text_hash").agg(F.countDistinct("item_id").alias("n"))
     bad = C.written(named.filter(F.col("n") >= least_items).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")), "contaminated")
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti")
 
