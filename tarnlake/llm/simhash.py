@@ -25,7 +25,7 @@ from tarnlake.llm.components import components
 
 SEED = 42
 LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-FRONTIER, CHUNK, PIECE = 1_000_000, 1_000_000, 200_000
+FRONTIER, CHUNK, PIECE = 200_000, 200_000, 200_000
 _BITS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
 
@@ -113,9 +113,10 @@ def trie_pairs(prints: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def leader_pairs(prints: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a large group by leaders: the print nearest the bitwise majority takes all within budget, and so on with the rest."""
-    left, found = np.arange(len(prints)), []
+def leader_pairs(prints: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of a large group by leaders: the print nearest the bitwise majority takes all within budget, and so on with the rest until a
+    leader takes none. Also what is left then, for the trie."""
+    left, found = np.arange(len(prints)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     while len(left) > 1:
         own = prints[left]
         bits = np.unpackbits(own.byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -123,9 +124,11 @@ def leader_pairs(prints: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarra
         lead = left[int(np.argmin(np.bitwise_count(own ^ centre)))]
         near = np.bitwise_count(own ^ prints[lead]) <= budget
         others = left[near & (left != lead)]
+        if not len(others):
+            break
         found.append((np.minimum(lead, others), np.maximum(lead, others)))
         left = left[~near]
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (left[:0], left[:0])
+    return *(np.concatenate(x) for x in zip(*found)), left
 
 
 def links(prints: DataFrame, budget: int, masks: list[int] | None = None, large: int | None = None) -> DataFrame:
@@ -142,13 +145,15 @@ def links(prints: DataFrame, budget: int, masks: list[int] | None = None, large:
         group = np.cumsum(np.concatenate([[0], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])) if len(fp) else mask
         sizes = np.bincount(group) if len(fp) else np.zeros(0, np.int64)
         big = np.flatnonzero(sizes > large) if large else np.zeros(0, np.int64)
-        usual = np.flatnonzero(~np.isin(group, big))
-        i, j = trie_pairs(fp[usual], group[usual], budget)
-        parts = [(usual[i], usual[j])]
-        ends = np.cumsum(sizes)
+        parts, rest, ends = [], [np.flatnonzero(~np.isin(group, big))], np.cumsum(sizes)
         for g in big:
-            a, b = leader_pairs(fp[ends[g] - sizes[g] : ends[g]], budget)
-            parts.append((a + ends[g] - sizes[g], b + ends[g] - sizes[g]))
+            begin = ends[g] - sizes[g]
+            a, b, left = leader_pairs(fp[begin : ends[g]], budget)
+            parts.append((a + begin, b + begin))
+            rest.append(left + begin)
+        usual = np.sort(np.concatenate(rest))
+        i, j = trie_pairs(fp[usual], group[usual], budget)
+        parts.append((usual[i], usual[j]))
         i, j = (np.concatenate(x) for x in zip(*parts))
         x, first = fp[i] ^ fp[j], np.ones(len(i), bool)
         if not large:
@@ -158,16 +163,18 @@ def links(prints: DataFrame, budget: int, masks: list[int] | None = None, large:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by mask and key; whole groups are solved together, about CHUNK rows at a time."""
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns)]
-            if len(held[0]) > CHUNK:
-                change = np.flatnonzero((held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1]))
-                if len(change):
-                    cut = int(change[-1]) + 1
-                    yield from solve(held[0][:cut], held[1][:cut], held[2][:cut].view(np.uint64))
-                    held = [h[cut:] for h in held]
-        yield from solve(held[0], held[1], np.ascontiguousarray(held[2]).view(np.uint64))
+            held.append(b)
+            if sum(x.num_rows for x in held) > CHUNK:
+                columns = [np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(3)]
+                change = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]))
+                cut = int(change[-1]) + 1 if len(change) else 0
+                held = [pa.RecordBatch.from_arrays([pa.array(c[cut:]) for c in columns], ["mask", "key", "fp"])]
+                if cut:
+                    yield from solve(columns[0][:cut], columns[1][:cut], columns[2][:cut].view(np.uint64))
+        columns = [np.concatenate([np.zeros(0, np.int64), *(x.column(i).to_numpy() for x in held)]) for i in range(3)]
+        yield from solve(columns[0], columns[1], columns[2].view(np.uint64))
 
     dealt = prints.select("fp", F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)))).alias("d"))
     rows = dealt.select("d.mask", "d.key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
@@ -202,11 +209,12 @@ def _similar(size: int, similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, probe: int = 2, budget: int = 12, masks: int = 48, mask_bits: int = 20, large: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, probe: int = 2, budget: int = 10, masks: int = 64, mask_bits: int = 20, large: int = 16) -> DataFrame:
     """(doc_id, keep_id) of documents that another one stands for: exact copies, and texts whose Jaccard similarity of distinct word shingles
     of ``size`` words is at least ``similarity``, exactly verified, joined into groups of which the least doc_id stays.
 
     Candidates come from fingerprints of distinct ``probe``-word shingles, which differ in few bits at that similarity, under many masks.
+    What grows with the corpus, ids of candidates and of copies, is joined by a shuffle at every size.
     Rows that share an id stand or fall together, compared by the text of the least MD5; rows without an id take no part.
     """
     prints = C.written(fingerprints(docs.filter(F.col("doc_id").isNotNull()), probe, distinct=True), "fingerprints")
@@ -218,7 +226,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, pro
     same = texts.join(nodes, "fp").filter("rep <> least").select(F.col("least").alias("u"), F.col("rep").alias("v"))
     pairs = C.written(pairs.unionByName(same), "candidates")
     ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    needed = C.written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text")), "candidate-texts")
+    needed = C.written(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text")), "candidate-texts")
     joined = pairs.join(needed.select(F.col("doc_id").alias("u"), F.col("text").alias("a_text")), "u").join(needed.select(F.col("doc_id").alias("v"), F.col("text").alias("b_text")), "v")
     stars = components(joined.select("u", "v", "a_text", "b_text").mapInArrow(_similar(size, similarity), "u long, v long"))
     kept = texts.join(stars, texts["rep"] == stars["u"], "left").select("text_key", F.coalesce("root", "rep").alias("keep_id"))
@@ -228,7 +236,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, pro
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """The rows, with all their columns, of documents that no other one stands for; rows without a doc_id stay."""
     copies = C.written(near_duplicates(docs, **options).select(F.col("doc_id").alias("_id")), "copies")
-    return docs.join(copies, docs["doc_id"] == copies["_id"], "left_anti")
+    return docs.join(copies.hint("merge"), docs["doc_id"] == copies["_id"], "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
