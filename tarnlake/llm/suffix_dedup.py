@@ -5,8 +5,8 @@ in a row with one trigger form a phrase (their bytes, placed about the trigger).
 so equal windows of any two documents always stand in phrases of the same trigger, at the same place. No phrase is longer than REACH + LENGTH.
 
 Combination. Triggers that one document only has can't hold a repeat and drop out. The others' phrases are collected into the dictionary,
-spread by trigger; for each part prefix doubling (8, 16, 32, LENGTH bytes) ranks the suffixes of its phrases, a rank of LENGTH bytes is an
-interval of the suffix array with that common prefix, and the least doc_id of the interval goes back to the phrases and so to the texts.
+spread by trigger; in each part the suffixes of its phrases are sorted, an interval of the suffix array with LENGTH bytes in common is a
+repeated window, and the least doc_id of the interval goes back to the phrases and so, by the parse, to the texts.
 
 Steps (each a shuffle of packed arrays, not of rows for bytes): texts are dealt into groups of about GROUP_BYTES; groups send distinct triggers
 to parts; parts answer with shared ones; groups send distinct phrases of these with their least doc_id; parts answer with the least doc_id of
@@ -23,6 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tarnlake.llm import common as C
@@ -30,27 +31,79 @@ from tarnlake.llm import common as C
 LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM
 WIDE = REACH + LENGTH
-GROUP_BYTES, PART_ROWS = 8_000_000, 50_000
+GROUP_BYTES, PARSE_BYTES, PART_ROWS, GROUPS_A_PART = 1_500_000, 100_000, 8_000, 4
 LAST = np.iinfo(np.int64).max
 _PLACE = np.uint64((1 << 30) - 1)
+NONE = (*([np.zeros(0, np.int64)] * 4), np.zeros(0, np.uint64))
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
+def _mixed(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of three words."""
+    h = first * _ODD[0]
+    spare = np.empty_like(h)
+    for word, odd in ((second, _ODD[1]), (third, _ODD[2])):
+        np.right_shift(h, np.uint64(29), out=spare)
+        h ^= spare
+        h += word
+        h *= odd
+    np.right_shift(h, np.uint64(32), out=spare)
+    h ^= spare
+    h *= _ODD[0]
+    np.right_shift(h, np.uint64(29), out=spare)
+    h ^= spare
+    return h
+
+
 def grams(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each byte on."""
+    """A hash of the GRAM bytes from each byte on."""
     w = data.astype(np.uint64)
     for size in (1, 2, 4):
         w = w[:-size] | (w[size:] << np.uint64(8 * size))
     n = len(data) - GRAM + 1
-    h = w[:n] * _ODD[0]
-    for i in (1, 2):
-        h ^= h >> np.uint64(29)
-        h = (h + w[8 * i : 8 * i + n]) * _ODD[i]
+    return _mixed(w[:n], w[8 : 8 + n], w[16 : 16 + n])
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    """Least hashes are small numbers; mixed once more they spread evenly over parts."""
+    h = h * _ODD[1]
     h ^= h >> np.uint64(32)
-    h *= _ODD[0]
+    h *= _ODD[2]
     return h ^ (h >> np.uint64(29))
 
 
+def triggers_of(rows: np.ndarray) -> np.ndarray:
+    """The triggers' hashes of phrases."""
+    words = np.ascontiguousarray(rows[:, REACH : REACH + GRAM]).view("<u8")
+    return _spread(_mixed(*(np.ascontiguousarray(words[:, i]) for i in range(3))))
+
+
+def _phrases(data: np.ndarray, ends: np.ndarray, base: int, first_doc: int) -> tuple[np.ndarray, ...]:
+    """Phrases of some texts in a row: first and last window start and trigger (counted from ``-base``), text, trigger's hash."""
+    if len(data) < LENGTH:
+        return NONE
+    h = grams(data)
+    low = h & ~_PLACE
+    low |= np.arange(len(h), dtype=np.uint64)
+    for size in (1, 2, 4, 8):
+        low = np.minimum(low[:-size], low[size:])
+    rest = REACH + 1 - 16
+    low = np.minimum(low[: len(low) - rest], low[rest:])
+    #: A phrase begins where the trigger changes, where a text begins, and (to be dropped) where windows would leave a text.
+    new = np.empty(len(low), bool)
+    new[0] = True
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    edges = np.concatenate([ends[:-1], ends - LENGTH + 1])
+    new[edges[(edges >= 0) & (edges < len(low))]] = True
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(low)) - 1
+    doc = np.searchsorted(ends, first, "right")
+    good = first + LENGTH <= ends[doc]
+    first, last, doc = first[good], last[good], doc[good]
+    where = (low[first] & _PLACE).astype(np.int64)
+    return first + base, last + base, where + base, doc + first_doc, _spread(h[where])
+
+
 class Parsed:
     """The phrases of a group's texts: first and last window start, trigger's place and hash, and the text each belongs to."""
 
@@ -61,32 +114,15 @@ class Parsed:
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
         self.ends = np.cumsum([len(t) for t in self.texts], dtype=np.int64)
         self.key = np.array(self.keys, np.int64)
-        n = len(self.data)
-        none = np.zeros(0, np.int64)
-        self.first = self.last = self.trigger = self.doc = none
-        self.hash = np.zeros(0, np.uint64)
-        if n < LENGTH:
-            return
-        h = grams(self.data)
-        at = np.arange(len(h), dtype=np.uint64)
-        low = (h & ~_PLACE) | at
-        for size in (1, 2, 4, 8):
-            low = np.minimum(low[:-size], low[size:])
-        width = 16
-        rest = REACH + 1 - width
-        low = np.minimum(low[: len(low) - rest], low[rest:])
-        where = (low & _PLACE).astype(np.int64)
-        starts = np.arange(len(where))
-        doc = np.searchsorted(self.ends, starts, "right")
-        good = starts + LENGTH <= self.ends[doc]
-        starts, where, doc = starts[good], where[good], doc[good]
-        if not len(starts):
-            return
-        new = np.concatenate([[True], (where[1:] != where[:-1]) | (doc[1:] != doc[:-1])])
-        begin = np.flatnonzero(new)
-        self.first, self.last = starts[begin], starts[np.append(begin[1:], len(starts)) - 1]
-        self.trigger, self.doc = where[begin], doc[begin]
-        self.hash = h[self.trigger]
+        #: Texts are parsed some at a time: the arrays of eight bytes for each byte stay small.
+        found, begin = [], 0
+        while begin < len(self.texts):
+            base = int(self.ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(self.ends, base + PARSE_BYTES, "right")))
+            found.append(_phrases(self.data[base : self.ends[end - 1]], self.ends[begin:end] - base, base, begin))
+            begin = end
+        found.append(NONE)
+        self.first, self.last, self.trigger, self.doc, self.hash = (np.concatenate(c) for c in zip(*found))
 
     def triggers(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct trigger hashes, and whether documents of different ids have them here."""
@@ -97,34 +133,44 @@ class Parsed:
         end = np.append(begin[1:], len(h)) - 1
         return h[begin], (k[begin] != k[end]) if len(h) else new
 
-    def dictionary(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def dictionary(self, shared: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of the phrases with shared triggers: which they are and the number of the distinct phrase of each; and of the distinct ones, by
         trigger: hash, bytes (with first and last window in two more), least doc key."""
-        at = np.searchsorted(shared, self.hash)
+        names = _names(self.hash, parts)
+        at = np.searchsorted(shared, names)
         at[at == len(shared)] = 0
-        own = np.flatnonzero(shared[at] == self.hash) if len(shared) else np.zeros(0, np.int64)
+        own = np.flatnonzero(shared[at] == names) if len(shared) else np.zeros(0, np.int64)
         rows = np.zeros((len(own), WIDE + 4), np.uint8)
         first, last, trigger = self.first[own], self.last[own], self.trigger[own]
         lo, hi = REACH - (trigger - first), REACH - (trigger - last)
         padded = np.concatenate([np.zeros(REACH, np.uint8), self.data, np.zeros(LENGTH, np.uint8)])
-        columns = np.arange(WIDE)
+        columns, around = np.arange(WIDE, dtype=np.int8), np.lib.stride_tricks.sliding_window_view(padded, WIDE)
+        low, high = lo.astype(np.int8)[:, None], (hi + LENGTH).astype(np.int8)[:, None]
         for a in range(0, len(own), PART_ROWS):
             s = slice(a, a + PART_ROWS)
-            inside = (columns >= lo[s, None]) & (columns < hi[s, None] + LENGTH)
-            rows[s, :WIDE] = np.where(inside, padded[trigger[s, None] + columns], 0)
+            rows[s, :WIDE] = around[trigger[s]] * ((columns >= low[s]) & (columns < high[s]))
         rows[:, WIDE], rows[:, WIDE + 1] = lo, hi
-        mixed = np.zeros(len(own), np.uint64)
-        for word in rows.view("<u8").T:
-            mixed = (mixed ^ word) * _ODD[1]
-            mixed ^= mixed >> np.uint64(31)
-        hashes, keys = self.hash[own], self.key[self.doc[own]]
-        order = np.lexsort((keys, mixed, hashes))
-        r = rows[order]
-        new = np.ones(len(own), bool)
-        new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (r[1:] != r[:-1]).any(axis=1)
-        number = np.empty(len(own), np.int64)
-        number[order] = np.cumsum(new) - 1
-        return own, number, hashes[order][new], r[new], keys[order][new]
+        hashes = self.hash[own]
+        number, chosen, low = distinct(hashes, rows, self.key[self.doc[own]])
+        return own, number, hashes[chosen], rows[chosen], low
+
+
+def distinct(hashes: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Phrases by trigger and bytes: the number of the distinct phrase of each, and one of each distinct phrase with the least key of all."""
+    mixed = hashes.copy()
+    for word in rows.view("<u8").T:
+        mixed ^= word
+        mixed *= _ODD[1]
+        mixed ^= mixed >> np.uint64(31)
+    order = np.lexsort((keys, mixed, hashes))
+    r, h = rows[order], hashes[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = h[1:] != h[:-1]
+    for word in r.view("<u8").T:
+        new[1:] |= word[1:] != word[:-1]
+    number = np.empty(len(rows), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return number, order[new], keys[order][new]
 
 
 def _packed(x: np.ndarray) -> bytes:
@@ -136,6 +182,29 @@ def _parts(hashes: np.ndarray, parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _names(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """A trigger's short name: its part and 32 bits of its hash. Names that clash only make more phrases candidates."""
+    return (_parts(hashes, parts).astype(np.uint64) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
+
+
+def _short(hashes: np.ndarray) -> bytes:
+    return (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+
+
+def _known(table: pa.Table) -> np.ndarray:
+    """Names in rows of part and short hashes."""
+    parts, short = table.column("part").to_pylist(), table.column("hashes").to_pylist()
+    return np.unique(np.concatenate([(np.uint64(p) << np.uint64(32)) | np.frombuffer(x, np.uint32).astype(np.uint64) for p, x in zip(parts, short)]))
+
+
+def _squeezed(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def _unsqueezed(x: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind)
+
+
 def _cuts(part: np.ndarray) -> list[tuple[int, int, int]]:
     begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
     return [(int(part[a]), int(a), int(b)) for a, b in zip(begin, [*begin[1:], len(part)])]
@@ -152,37 +221,31 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(np.append(begin, len(values))).astype(np.int32), values[begin]
 
 
-def _ranks(*columns: np.ndarray) -> np.ndarray:
-    """Dense ranks of tuples."""
-    if len(columns) == 2:
-        high, low = columns
-        return np.unique(high.astype(np.int64) * (int(low.max(initial=0)) + 1) + low, return_inverse=True)[1]
-    return np.unique(columns[0], return_inverse=True)[1]
-
-
 def least_of_windows(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """For each phrase of a part of the dictionary and each of its windows, in turn: the least key of the equal windows."""
-    lo, hi = rows[:, WIDE].astype(np.int64), rows[:, WIDE + 1].astype(np.int64)
-    n = len(rows)
-    columns = np.arange(WIDE - 7)
-    used = (columns >= lo[:, None]) & (columns <= hi[:, None] + LENGTH - 8)
-    words = np.zeros((n, WIDE - 7), np.uint64)
+    """For each phrase of a part of the dictionary and each of its windows, in turn: the least key of the equal windows.
+
+    The suffixes of the phrases that begin a window are sorted by their first LENGTH bytes, eight at a time as big-endian words; runs of equal
+    ones are the suffix array's intervals of that common prefix.
+    """
+    lo, counts = rows[:, WIDE].astype(np.int64), rows[:, WIDE + 1].astype(np.int64) - rows[:, WIDE] + 1
+    words = np.zeros((len(rows), WIDE - 7), np.uint64)
     for i in range(8):
         words = (words << np.uint64(8)) | rows[:, i : i + WIDE - 7]
-    rank = np.zeros((n, WIDE - 7), np.int64)
-    rank[used] = _ranks(words[used])
-    size = 8
-    for step in (8, 16, LENGTH - 32):
-        used = used[:, step:] & (columns[: used.shape[1] - step] <= hi[:, None] + LENGTH - size - step)
-        out = np.zeros(used.shape, np.int64)
-        out[used] = _ranks(rank[:, :-step][used], rank[:, step:][used])
-        used = used & (columns[: used.shape[1]] >= lo[:, None])
-        rank, size = out, size + step
-    windows = (columns[: rank.shape[1]] >= lo[:, None]) & (columns[: rank.shape[1]] <= hi[:, None])
-    final = rank[windows]
-    least = np.full(int(final.max(initial=-1)) + 1, LAST, np.int64)
-    np.minimum.at(least, final, np.repeat(keys, hi - lo + 1))
-    return least[final]
+    phrase = np.repeat(np.arange(len(rows)), counts)
+    at = phrase * words.shape[1] + np.arange(len(phrase)) - np.repeat(np.cumsum(counts) - counts - lo, counts)
+    flat = words.ravel()
+    prefix = [flat[at + o] for o in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
+    order = np.lexsort(prefix[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for word in prefix:
+        w = word[order]
+        new[1:] |= w[1:] != w[:-1]
+    begin = np.flatnonzero(new)
+    low = np.minimum.reduceat(keys[phrase][order], begin) if len(begin) else keys[:0]
+    least = np.empty(len(order), np.int64)
+    least[order] = low[np.cumsum(new) - 1]
+    return least
 
 
 def dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES, with_kept: bool = True) -> DataFrame:
@@ -190,21 +253,22 @@ def dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES, with_kept: bool = Tru
     slim = docs.select(F.col("doc_id").cast("long"), C.text_of(docs).cast("binary").alias("text"))
     total = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // group_bytes))
+    parts = max(1, n // GROUPS_A_PART)
     dealt = slim.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
 
     sends = "part long, grp long, hashes binary, many binary"
 
     def send_triggers(key, table):
         h, many = Parsed(table).triggers()
-        return _table(sends, [(p, key[0].as_py(), _packed(h[a:b]), _packed(many[a:b])) for p, a, b in _cuts(_parts(h, n))])
+        return _table(sends, [(p, key[0].as_py(), _short(h[a:b]), np.packbits(many[a:b]).tobytes()) for p, a, b in _cuts(_parts(h, parts))])
 
-    shares = "grp long, hashes binary"
+    shares = "grp long, part long, hashes binary"
 
     def share_triggers(key, table):
         groups = table.column("grp").to_pylist()
-        hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
+        hashes = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
         every = np.concatenate(hashes)
-        many = np.concatenate([np.frombuffer(x, bool) for x in table.column("many").to_pylist()])
+        many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(h)).astype(bool) for x, h in zip(table.column("many").to_pylist(), hashes)])
         s = np.sort(every)
         known = np.unique(np.concatenate([s[1:][s[1:] == s[:-1]], every[many]]))
         found = []
@@ -212,47 +276,54 @@ def dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES, with_kept: bool = Tru
             at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
             own = h[known[at] == h] if len(known) else h[:0]
             if len(own):
-                found.append((g, _packed(own)))
+                found.append((g, key[0].as_py(), _packed(own)))
         return _table(shares, found)
 
-    phrases = "part long, grp long, hashes binary, phrases binary, keys binary"
+    phrases = "part long, grp long, phrases binary, keys binary"
 
     def send_phrases(key, table, shared):
         if not shared.num_rows:
             return _table(phrases, [])
-        known = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in shared.column("hashes").to_pylist()]))
-        _, _, h, rows, keys = Parsed(table).dictionary(known)
-        return _table(phrases, [(p, key[0].as_py(), _packed(h[a:b]), _packed(rows[a:b]), _packed(keys[a:b])) for p, a, b in _cuts(_parts(h, n))])
+        _, _, h, rows, keys = Parsed(table).dictionary(_known(shared), parts)
+        return _table(phrases, [(p, key[0].as_py(), _squeezed(rows[a:b]), _squeezed(keys[a:b])) for p, a, b in _cuts(_parts(h, parts))])
 
     answers = "grp long, part long, hashes binary, lengths binary, least binary"
 
     def answer(key, table):
         groups = table.column("grp").to_pylist()
-        hashes = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        rows = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, WIDE + 4) for x in table.column("phrases").to_pylist()])
-        keys = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("keys").to_pylist()])
-        every = np.concatenate(hashes)
-        order = np.argsort(every, kind="stable")
+        own_rows = [_unsqueezed(x, np.uint8).reshape(-1, WIDE + 4) for x in table.column("phrases").to_pylist()]
+        rows = np.concatenate(own_rows)
+        keys = np.concatenate([_unsqueezed(x, np.int64) for x in table.column("keys").to_pylist()])
+        every = triggers_of(rows)
         counts = rows[:, WIDE + 1].astype(np.int64) - rows[:, WIDE] + 1
         ends = np.cumsum(counts)
-        least = np.empty(int(counts.sum()), np.int64)
-        s = every[order]
-        edges = np.append(np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])), len(s))
+        number, chosen, low = distinct(every, rows, keys)
+        #: A trigger with one phrase only has equal windows throughout; the others' phrases are ranked, whole triggers, about PART_ROWS at a time.
+        h = every[chosen]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        edges = np.append(np.flatnonzero(new), len(h))
+        sizes = np.diff(edges)
+        several = np.flatnonzero(np.repeat(sizes > 1, sizes))
+        own_counts = counts[chosen]
+        begins = np.cumsum(own_counts) - own_counts
+        values = np.repeat(low, own_counts)
+        bounds = np.append(np.cumsum(np.concatenate([[0], sizes[sizes > 1]]))[:-1], len(several))
         a = 0
-        while a < len(s):
-            #: Whole triggers, about PART_ROWS phrases at a time.
-            b = int(edges[max(np.searchsorted(edges, a, "right"), np.searchsorted(edges, a + PART_ROWS, "right") - 1)])
-            own = order[a:b]
-            c = counts[own]
-            to = np.repeat(ends[own] - c - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
-            least[to] = least_of_windows(rows[own], keys[own])
+        while a < len(several):
+            b = int(bounds[max(np.searchsorted(bounds, a, "right"), np.searchsorted(bounds, a + PART_ROWS, "right") - 1)])
+            own = several[a:b]
+            c = own_counts[own]
+            to = np.repeat(begins[own] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+            values[to] = least_of_windows(rows[chosen[own]], low[own])
             a = b
+        least = values[np.repeat(begins[number] - (ends - counts), counts) + np.arange(int(counts.sum()))]
         found, at = [], 0
         windows = np.concatenate([[0], ends])
-        for g, h in zip(groups, hashes):
-            lengths, values = _runs(least[windows[at] : windows[at + len(h)]])
-            found.append((g, key[0].as_py(), _packed(h), _packed(lengths), _packed(values)))
-            at += len(h)
+        for g, own in zip(groups, own_rows):
+            end = at + len(own)
+            lengths, low = _runs(least[windows[at] : windows[end]])
+            found.append((g, key[0].as_py(), _short(np.unique(every[at:end])), _squeezed(lengths), _squeezed(low)))
+            at = end
         return _table(answers, found)
 
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
@@ -262,17 +333,19 @@ def dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES, with_kept: bool = Tru
         marks = np.zeros(len(parsed.data) + 1, np.int32)
         if said.num_rows:
             turn = np.argsort(said.column("part").to_numpy())
-            column = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in (said.column(name)[int(i)].as_py() for i in turn)])
-            own, number, _, rows, _ = parsed.dictionary(np.unique(column("hashes", np.uint64)))
+            column = lambda name, kind: np.concatenate([_unsqueezed(said.column(name)[int(i)].as_py(), kind) for i in turn])
+            own, number, _, rows, _ = parsed.dictionary(_known(said), parts)
             least = np.repeat(column("least", np.int64), column("lengths", np.int32))
             counts = rows[:, WIDE + 1].astype(np.int64) - rows[:, WIDE] + 1
             begin = np.cumsum(counts) - counts
-            c = counts[number]
-            inner = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-            earlier = least[np.repeat(begin[number], c) + inner] < np.repeat(parsed.key[parsed.doc[own]], c)
-            starts = (np.repeat(parsed.first[own], c) + inner)[earlier]
-            np.add.at(marks, starts, 1)
-            np.add.at(marks, starts + LENGTH, -1)
+            for a in range(0, len(own), PART_ROWS):
+                o, d = own[a : a + PART_ROWS], number[a : a + PART_ROWS]
+                c = counts[d]
+                inner = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
+                earlier = least[np.repeat(begin[d], c) + inner] < np.repeat(parsed.key[parsed.doc[o]], c)
+                starts = (np.repeat(parsed.first[o], c) + inner)[earlier]
+                np.add.at(marks, starts, 1)
+                np.add.at(marks, starts + LENGTH, -1)
         gone = np.cumsum(marks[:-1]) > 0
         found, at = [], 0
         for doc_id, end in zip(parsed.ids, parsed.ends):
