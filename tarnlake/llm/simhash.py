@@ -11,6 +11,7 @@ rows and ties share a fingerprint, so a group of copies of any size is one node.
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 
@@ -26,6 +27,7 @@ from tarnlake.llm.components import components
 SEED = 42
 LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 FRONTIER, CHUNK, PIECE = 200_000, 200_000, 200_000
+SKETCH_BITS, CLUSTER_BYTES = 18, 4_000_000
 _BITS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
 
@@ -196,41 +198,192 @@ def group(docs: DataFrame, size: int = 3, budget: int = 2) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
 
 
-def _similar(size: int, similarity: float):
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """A 64-bit hash for each place of a shingle in the text, equal where the shingles are; one for a text of fewer words or none."""
+    words = text.translate(LOWERED).split()
+    w = np.zeros(max(len(words), size), np.uint64)
+    w[: len(words)] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = len(w) - size + 1
+    h = np.full(n, SEED, np.uint64)
+    for k in range(size):
+        h = (h ^ w[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _frequencies(texts: DataFrame, size: int) -> np.ndarray:
+    """How often shingles occur, by the first SKETCH_BITS bits of their hash; the tasks' counts are added up in 64 parts."""
+    parts = 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for b in batches:
+            for t in b.column(0).cast(pa.large_binary()).to_pylist():
+                np.add.at(total, (shingle_hashes(t, size) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int64()), pa.array([x.tobytes() for x in np.split(total, parts)], pa.binary())], ["part", "counts"])
+
+    def add(found: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int64) for x in found.column("counts").to_pylist())
+        return pa.table({"part": found.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    kind = "part long, counts binary"
+    rows = texts.mapInArrow(count, kind).groupBy("part").applyInArrow(add, kind).collect()
+    out = np.zeros((parts, (1 << SKETCH_BITS) // parts), np.int64)
+    for r in rows:
+        out[r.part] = np.frombuffer(r.counts, np.int64)
+    return out.reshape(-1)
+
+
+def _postings(frequency: np.ndarray, size: int, similarity: float):
+    """token, node, n, pos: a text's rarest shingles, as many that two texts similar enough share one; n counts its distinct shingles."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column("a_text").cast(pa.large_binary()).to_pylist(), b.column("b_text").cast(pa.large_binary()).to_pylist()):
-                s, t = set(shingles_of(x or b"", size)), set(shingles_of(y or b"", size))
-                both = len(s & t)
-                keep.append(both >= similarity * (len(s) + len(t) - both) if s or t else True)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in (b.column("u"), b.column("v"))], ["u", "v"])
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                tokens, counts, firsts = [np.zeros(0, np.uint64)], [], []
+                for t in part.column(1).cast(pa.large_binary()).to_pylist():
+                    h = np.unique(shingle_hashes(t, size))
+                    first = len(h) - math.ceil((similarity - 1e-9) * len(h)) + 1
+                    tokens.append(h[np.lexsort((h, frequency[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))[:first]])
+                    counts.append(len(h))
+                    firsts.append(len(tokens[-1]))
+                taken = np.array(firsts, np.int64)
+                place = np.arange(taken.sum()) - np.repeat(np.cumsum(taken) - taken, taken)
+                columns = [np.concatenate(tokens).view(np.int64), np.repeat(part.column(0).to_numpy(), taken), np.repeat(np.array(counts, np.int32), taken), place.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["token", "node", "n", "pos"])
+
+    return run
+
+
+def _whole(batches: Iterator[pa.RecordBatch], most: int, weight) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, joined and cut anew where that column changes, at about so much weight each."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(map(weight, held)) > most:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            key = rows.column(0).to_numpy()
+            change = np.flatnonzero(key[1:] != key[:-1])
+            cut = int(change[-1]) + 1 if len(change) else 0
+            if cut:
+                yield rows.slice(0, cut)
+            held = rows.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _clusters(similarity: float):
+    """leader, node: texts that share a token and can be similar by their numbers of shingles and its places; the leader is the least node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole(batches, CHUNK, lambda b: b.num_rows):
+            token, node, n, pos = (rows.column(i).to_numpy() for i in range(4))
+            order = np.lexsort((node, n, token))
+            token, node, n, pos = token[order], node[order], n[order].astype(np.int64), pos[order].astype(np.int64)
+            fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
+            token, node, n, pos = token[fresh], node[fresh], n[fresh], pos[fresh]
+            starts = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (n[:-1] < (similarity - 1e-9) * n[1:])))
+            sizes = np.diff(np.append(starts, len(token)))
+            other = np.where(np.repeat(sizes, sizes) == 2, np.repeat(np.add.reduceat(n, starts), sizes) - n, np.repeat(n[starts], sizes))
+            able = n - pos >= (similarity - 1e-9) / (1 + similarity) * (n + other)
+            segment = np.repeat(np.arange(len(starts)), sizes)[able]
+            node = node[able]
+            leader = np.full(len(starts), np.iinfo(np.int64).max)
+            np.minimum.at(leader, segment, node)
+            many = np.bincount(segment, minlength=len(starts))[segment] > 1
+            found = np.unique(np.stack([leader[segment][many], node[many]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["leader", "node"])
+
+    return run
+
+
+def similar_links(texts: list[bytes], size: int, similarity: float) -> list[tuple[int, int]]:
+    """Places of texts, as many links as join all that are reached over pairs similar enough; shingles are compared word by word.
+
+    The first text is compared with all; then each that isn't similar to it with all. Pairs left out are joined already by the first.
+    """
+    vocabulary: dict[bytes, int] = {}
+    words = [[vocabulary.setdefault(w, len(vocabulary) + 1) for w in t.translate(LOWERED).split()] for t in texts]
+    flat = np.concatenate([np.array(w + [0] * (size - len(w)), np.int64) for w in words])
+    lengths = np.array([max(len(w), size) for w in words])
+    counts = lengths - size + 1
+    owner = np.repeat(np.arange(len(texts)), counts)
+    starts = np.arange(counts.sum()) + owner * (size - 1)
+    code = flat[starts]
+    for k in range(1, size):
+        code = np.unique(code * (len(vocabulary) + 1) + flat[starts + k], return_inverse=True)[1]
+    kinds = int(code.max()) + 1
+    both = np.unique(owner * kinds + code)
+    owner, code = both // kinds, both % kinds
+    n = np.bincount(owner, minlength=len(texts))
+    own = np.append(0, np.cumsum(n))
+    holders = owner[np.argsort(code, kind="stable")]
+    held = np.bincount(code, minlength=kinds)
+    first = np.cumsum(held) - held
+
+    def similar(x: int) -> np.ndarray:
+        common = np.zeros(len(texts), np.int64)
+        mine, step = code[own[x] : own[x + 1]], max(1, PIECE // len(texts))
+        for at in range(0, len(mine), step):
+            c = mine[at : at + step]
+            lens = held[c]
+            common += np.bincount(holders[np.arange(lens.sum()) + np.repeat(first[c] - (np.cumsum(lens) - lens), lens)], minlength=len(texts))
+        return common >= similarity * (n[x] + n - common)
+
+    near = similar(0)
+    links = [(0, int(y)) for y in np.flatnonzero(near) if y]
+    label = np.where(near, 0, np.arange(len(texts)))
+    for x in np.flatnonzero(~near):
+        for y in np.flatnonzero(similar(x)):
+            if label[y] != label[x]:
+                links.append((int(x), int(y)))
+                label[label == label[y]] = label[x]
+    return links
+
+
+def _verified(size: int, similarity: float):
+    """u, v: links of whole clusters; rows are leader, node, text, sorted by leader."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _whole(batches, CLUSTER_BYTES, lambda b: b.nbytes):
+            leader, node, text = rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2)
+            cuts = np.append(np.flatnonzero(np.append(True, leader[1:] != leader[:-1])), len(leader))
+            u, v = [], []
+            for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                order = begin + np.argsort(node[begin:end] != leader[begin], kind="stable")
+                for i, j in similar_links(text.take(pa.array(order)).cast(pa.large_binary()).to_pylist(), size, similarity):
+                    u.append(node[order[i]])
+                    v.append(node[order[j]])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, probe: int = 2, budget: int = 10, masks: int = 64, mask_bits: int = 20, large: int = 16) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, large: int | None = None) -> DataFrame:
     """(doc_id, keep_id) of documents that another one stands for: exact copies, and texts whose Jaccard similarity of distinct word shingles
-    of ``size`` words is at least ``similarity``, exactly verified, joined into groups of which the least doc_id stays.
+    of ``size`` words is at least ``similarity``, joined into groups of which the least doc_id stays. Complete at every size of group.
 
-    Candidates come from fingerprints of distinct ``probe``-word shingles, which differ in few bits at that similarity, under many masks.
-    What grows with the corpus, ids of candidates and of copies, is joined by a shuffle at every size.
-    Rows that share an id stand or fall together, compared by the text of the least MD5; rows without an id take no part.
+    Only exact copies are one node, named by 64 bits of their MD5. Two texts similar enough share a shingle among the rarest of each (prefix
+    filter; any order of shingles is right, rarest first keeps groups small), so all links lie within clusters of texts around a leader. Each
+    cluster's texts meet in one task, which gives no more links than its texts; pairs are compared there word by word.
+    What grows with the corpus is joined by a shuffle at every size. ``large`` has no effect and stays for callers that give it.
+    Rows that share an id stand or fall together; rows without an id take no part.
     """
-    prints = C.written(fingerprints(docs.filter(F.col("doc_id").isNotNull()), probe, distinct=True), "fingerprints")
-    texts = C.written(prints.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")), "texts")
-    nodes = C.written(texts.groupBy("fp").agg(F.min("rep").alias("least")), "nodes")
-    near = links(nodes.select("fp"), budget, spread_masks(masks, mask_bits), large).distinct()
-    a, b = nodes.select(F.col("fp").alias("u"), F.col("least").alias("a")), nodes.select(F.col("fp").alias("v"), F.col("least").alias("b"))
-    pairs = near.join(a, "u").join(b, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    same = texts.join(nodes, "fp").filter("rep <> least").select(F.col("least").alias("u"), F.col("rep").alias("v"))
-    pairs = C.written(pairs.unionByName(same), "candidates")
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    needed = C.written(docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.md5("text")).alias("text")), "candidate-texts")
-    joined = pairs.join(needed.select(F.col("doc_id").alias("u"), F.col("text").alias("a_text")), "u").join(needed.select(F.col("doc_id").alias("v"), F.col("text").alias("b_text")), "v")
-    stars = components(joined.select("u", "v", "a_text", "b_text").mapInArrow(_similar(size, similarity), "u long, v long"))
-    kept = texts.join(stars, texts["rep"] == stars["u"], "left").select("text_key", F.coalesce("root", "rep").alias("keep_id"))
-    return prints.join(kept, "text_key").filter("doc_id <> keep_id").select("doc_id", "keep_id")
+    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), C.text_of(docs).alias("text"))
+    texts = texts.withColumn("node", F.conv(F.substring(F.md5("text"), 1, 16), 16, -10).cast("long"))
+    keys = C.written(texts.select("doc_id", "node"), "text-keys")
+    posted = texts.select("node", "text").mapInArrow(_postings(_frequencies(texts.select("text"), size), size, similarity), "token long, node long, n int, pos int")
+    clusters = C.written(posted.repartition("token").sortWithinPartitions("token").mapInArrow(_clusters(similarity), "leader long, node long").distinct(), "clusters")
+    needed = texts.select("node", "text").join(clusters.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    rows = clusters.join(needed.hint("merge"), "node").select("leader", "node", "text").repartition("leader").sortWithinPartitions("leader")
+    stars = components(rows.mapInArrow(_verified(size, similarity), "u long, v long"))
+    rooted = C.written(keys.groupBy("node").agg(F.min("doc_id").alias("rep")).join(stars, F.col("node") == F.col("u"), "left").select("node", "rep", F.coalesce("root", "node").alias("root")), "texts")
+    kept = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("keep_id")), "root").select("node", "keep_id")
+    return keys.join(kept, "node").filter("doc_id <> keep_id").select("doc_id", "keep_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:

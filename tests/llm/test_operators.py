@@ -236,6 +236,26 @@ def test_near_duplicates(spark):
     assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
 
 
+def near_duplicates_of(spark, texts):
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.keep_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    return got, brute.similar_groups(rows)
+
+
+def test_near_duplicates_of_saturated_texts(spark):
+    """Long texts of few words hold the same pairs of words, near copies or not."""
+    own, texts = random.Random(5), []
+    for _ in range(20):
+        base = [own.choice("abcdefghijklmnop") for _ in range(4000)]
+        copy = list(base)
+        for at in own.sample(range(len(base)), 20):
+            copy[at] = own.choice("abcdefghijklmnop")
+        texts += [" ".join(base), " ".join(copy)]
+    own.shuffle(texts)
+    got, want = near_duplicates_of(spark, texts)
+    assert got == want and len(want) == 20
+
+
 def test_packing(spark, docs, rows, empty):
     from tokenizers import Tokenizer
     import public_tokenizers
