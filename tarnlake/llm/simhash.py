@@ -115,29 +115,8 @@ def trie_pairs(prints: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def leader_pairs(prints: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of a large group by leaders: the print nearest the bitwise majority takes all within budget, and so on with the rest until a
-    leader takes none. Also what is left then, for the trie."""
-    left, found = np.arange(len(prints)), [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    while len(left) > 1:
-        own = prints[left]
-        bits = np.unpackbits(own.byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        centre = _BITS[2 * bits > len(own)].sum(dtype=np.uint64)
-        lead = left[int(np.argmin(np.bitwise_count(own ^ centre)))]
-        near = np.bitwise_count(own ^ prints[lead]) <= budget
-        others = left[near & (left != lead)]
-        if not len(others):
-            break
-        found.append((np.minimum(lead, others), np.maximum(lead, others)))
-        left = left[~near]
-    return *(np.concatenate(x) for x in zip(*found)), left
-
-
-def links(prints: DataFrame, budget: int, masks: list[int] | None = None, large: int | None = None) -> DataFrame:
-    """(u, v) of distinct fingerprints (column fp) within the budget that agree on a mask.
-
-    ``large``: groups of more prints are linked by leaders, so their links grow in proportion; None walks every group's whole trie.
-    """
+def links(prints: DataFrame, budget: int, masks: list[int] | None = None) -> DataFrame:
+    """(u, v) of distinct fingerprints (column fp) within the budget that agree on a mask."""
     masks = masks or block_masks(budget)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
 
@@ -145,22 +124,10 @@ def links(prints: DataFrame, budget: int, masks: list[int] | None = None, large:
         order = np.lexsort((fp, key, mask))
         mask, key, fp = mask[order], key[order], fp[order]
         group = np.cumsum(np.concatenate([[0], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])) if len(fp) else mask
-        sizes = np.bincount(group) if len(fp) else np.zeros(0, np.int64)
-        big = np.flatnonzero(sizes > large) if large else np.zeros(0, np.int64)
-        parts, rest, ends = [], [np.flatnonzero(~np.isin(group, big))], np.cumsum(sizes)
-        for g in big:
-            begin = ends[g] - sizes[g]
-            a, b, left = leader_pairs(fp[begin : ends[g]], budget)
-            parts.append((a + begin, b + begin))
-            rest.append(left + begin)
-        usual = np.sort(np.concatenate(rest))
-        i, j = trie_pairs(fp[usual], group[usual], budget)
-        parts.append((usual[i], usual[j]))
-        i, j = (np.concatenate(x) for x in zip(*parts))
+        i, j = trie_pairs(fp, group, budget)
         x, first = fp[i] ^ fp[j], np.ones(len(i), bool)
-        if not large:
-            for k, m in enumerate(masks):
-                first &= (mask[i] <= k) | ((x & np.uint64(m)) != 0)
+        for k, m in enumerate(masks):
+            first &= (mask[i] <= k) | ((x & np.uint64(m)) != 0)
         yield pa.RecordBatch.from_arrays([pa.array(fp[i[first]].view(np.int64)), pa.array(fp[j[first]].view(np.int64))], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -256,6 +256,19 @@ def test_near_duplicates_of_saturated_texts(spark):
     assert got == want and len(want) == 20
 
 
+def test_near_duplicates_in_a_large_group(spark):
+    """Copies that aren't similar to a group's leader are still compared with the rest."""
+    own, texts = random.Random(6), []
+    base = [own.choice("abcdefghij") + str(own.randint(0, 400)) for _ in range(300)]
+    for i in range(400):
+        copy = list(base)
+        for at in own.sample(range(300), 1 + i % 8):
+            copy[at] = f"new{own.randint(0, 10**6)}"
+        texts.append(" ".join(copy))
+    got, want = near_duplicates_of(spark, texts)
+    assert got == want and len(want) > 300
+
+
 def test_packing(spark, docs, rows, empty):
     from tokenizers import Tokenizer
     import public_tokenizers
