@@ -12,7 +12,6 @@ rows and ties share a fingerprint, so a group of copies of any size is one node.
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,11 +38,9 @@ def shingles_of(text: bytes, size: int) -> list[bytes]:
     return list(map(b" ".join, zip(*(words[i:] for i in range(size)))))
 
 
-def fingerprint(text: bytes, size: int, distinct: bool = False) -> int:
+def fingerprint(text: bytes, size: int) -> int:
     """The bits that are set in over half of the shingles' XXH64 values."""
     found = shingles_of(text, size)
-    if distinct:
-        found = set(found)
     if not found:
         return 0
     hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in found), np.uint64, len(found))
@@ -53,16 +50,15 @@ def fingerprint(text: bytes, size: int, distinct: bool = False) -> int:
     return int(_BITS[2 * counts > len(hashes)].sum(dtype=np.uint64))
 
 
-def fingerprints(docs: DataFrame, size: int, distinct: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint as a long) and text_key (MD5 of the text)."""
+def fingerprints(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id and fp (the fingerprint as a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = np.array([fingerprint(t or b"", size, distinct) for t in b.column(1).cast(pa.large_binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64), pa.int64()), b.column(2)], ["doc_id", "fp", "text_key"])
+            prints = np.array([fingerprint(t or b"", size) for t in b.column(1).cast(pa.large_binary()).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints.view(np.int64), pa.int64())], ["doc_id", "fp"])
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.md5(C.text_of(docs)).alias("text_key"))
-    return slim.mapInArrow(run, "doc_id long, fp long, text_key string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 def block_masks(budget: int) -> list[int]:
@@ -71,12 +67,6 @@ def block_masks(budget: int) -> list[int]:
     return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
 
 
-def spread_masks(count: int, bits: int, seed: int = 7) -> list[int]:
-    """Masks of so many bits each, drawn once for all."""
-    draw = random.Random(seed)
-    return [sum(1 << i for i in draw.sample(range(64), bits)) for _ in range(count)]
-
-
 def trie_pairs(prints: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (i < j) of distinct fingerprints of one group that differ in at most ``budget`` bits; both arrays sorted by group, then print."""
     n = len(prints)
@@ -115,9 +105,9 @@ def trie_pairs(prints: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def links(prints: DataFrame, budget: int, masks: list[int] | None = None) -> DataFrame:
+def links(prints: DataFrame, budget: int) -> DataFrame:
     """(u, v) of distinct fingerprints (column fp) within the budget that agree on a mask."""
-    masks = masks or block_masks(budget)
+    masks = block_masks(budget)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
 
     def solve(mask: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -157,7 +147,7 @@ def hex_of(column: str):
 
 def group(docs: DataFrame, size: int = 3, budget: int = 2) -> DataFrame:
     """doc_id, fingerprint, component_id: the least doc_id among all that are reached over links."""
-    prints = C.written(fingerprints(docs, size).drop("text_key"), "fingerprints")
+    prints = C.written(fingerprints(docs, size), "fingerprints")
     nodes = C.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     stars = components(links(nodes.select("fp"), budget))
     rooted = nodes.join(stars, nodes["fp"] == stars["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

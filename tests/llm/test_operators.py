@@ -269,6 +269,18 @@ def test_near_duplicates_in_a_large_group(spark):
     assert got == want and len(want) > 300
 
 
+def test_near_duplicates_with_tails_and_blocks(spark):
+    """Copies with a longer end or a replaced block, down to similarity 0.8."""
+    own, texts = random.Random(7), []
+    for i in range(100):
+        base = [own.choice("abcdefghij") + str(own.randint(0, 400)) for _ in range(300)]
+        new = [f"new{own.randint(0, 10**6)}" for _ in range(60)]
+        n = 20 + i % 35
+        texts += [" ".join(base), " ".join(base + new[:n] if i % 2 else base[:100] + new[: n // 2] + base[100 + n // 2 :])]
+    got, want = near_duplicates_of(spark, texts)
+    assert got == want and len(want) == 100
+
+
 def test_packing(spark, docs, rows, empty):
     from tokenizers import Tokenizer
     import public_tokenizers
