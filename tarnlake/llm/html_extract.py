@@ -31,7 +31,9 @@ HINTS = frozenset(
     "header login masthead menu menubar modal nav navbar navigation navigation newsletter notice notification notifications pagination pager popup privacy promo promotion recommended related replies "
     "reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
-TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']++|"[^"]{0,20000}"|'[^']{0,20000}')*+)>""")
+#: Quoted values have any length. Nothing is tried twice, and quotes permute the three states (outside, in either quote), so at most three tags of
+#: a page can be read to its end in vain: work stays in proportion to its length.
+TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 HINT_ATTRIBUTES = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 FEATURES = ("words", "link_density", "words_before", "links_before", "words_after", "links_after", "in_main", "in_boiler")

@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -236,6 +237,18 @@ def test_near_duplicates(spark):
     assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
 
 
+def test_html_long_attributes():
+    """Quoted values of any length, with > inside, and unclosed quotes in time in proportion to the page."""
+    for value in ("x" * 20_001, "a > b " * 200_000):
+        page = f"<div id=root><main><div data-state='{value}'>hero</div><p>body text</p></main></div><div class=\"sidebar\" style=\"{value}\">aside</div><script data-x=\"{value}\">code()</script>"
+        assert [(b[0], b[3], b[4]) for b in html_extract.blocks(page)] == [("hero", True, False), ("body text", True, False), ("aside", False, True)]
+    start = time.monotonic()
+    for piece in ("<a <b ", "<a '><b ", "<a \"'><b ''>", "<a" + "b" * 50 + "\""):
+        html_extract.blocks(piece * 40_000 + "\"")
+        html_extract.blocks("<" + piece.strip("<") * 40_000 + "'")
+    assert time.monotonic() - start < 20
+
+
 def near_duplicates_of(spark, texts):
     rows = list(enumerate(texts))
     got = {r.doc_id: r.keep_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
