@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+#: Items in a block of a scan, and code points in a chunk of a text.
+BLOCK, CHUNK = 64, 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,37 +46,94 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def match_spans(text: Column, pattern: str, guard: Column) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is worked out once; an expression used inside a lambda is otherwise worked out at every step."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def stretch(items: Column, first: Column, last: Column) -> Column:
+    """Items first to last, both included and counted from 0; ``slice`` copies the whole array each time."""
+    return F.transform(F.sequence(first, last), lambda k: F.get(items, k))
+
+
+def running(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """What a scan over an array gives for each item, as array<kind>: ``step`` takes state and item, and gives the next state and the output.
+
+    Appending to an array copies it, so outputs are gathered in blocks of BLOCK and the blocks then joined: time is in proportion to the
+    items as long as these are fewer than some millions.
+    """
+    none, nones = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+
+    def one(acc: Column, item: Column) -> Column:
+        state, out = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.concat(acc["got"], F.array(out.cast(kind))).alias("got"))
+
+    def block(acc: Column, part: Column) -> Column:
+        #: ``let`` would copy all that is gathered, so a block's outputs are taken up by the next step.
+        done = F.aggregate(part, F.struct(acc["done"]["state"].alias("state"), none.alias("got")), one)
+        return F.struct(done.alias("done"), taken(acc).alias("got"))
+
+    def taken(acc: Column) -> Column:
+        return F.concat(acc["got"], F.array(acc["done"]["got"]))
+
+    def whole(all_items: Column) -> Column:
+        last = F.size(all_items) - 1
+        starts = F.sequence(F.lit(0), F.floor(last / BLOCK).cast("int"))
+        parts = F.transform(starts, lambda i: stretch(all_items, i * BLOCK, F.least(i * BLOCK + BLOCK - 1, last)))
+        begin = F.struct(F.struct(start.alias("state"), none.alias("got")).alias("done"), nones.alias("got"))
+        return F.when(last < 0, none).otherwise(F.aggregate(parts, begin, block, lambda acc: F.flatten(taken(acc))))
+
+    return let(items, whole)
+
+
+def match_spans(text: Column, pattern: str, guard: Column, context: int = 0) -> Column:
     """All leftmost non-overlapping matches of a Java pattern as array<struct<s:int,e:int,m:string>>, in code points, end exclusive.
 
-    Splitting by the pattern gives the text between the matches that extraction gives, so running lengths are the offsets.
-    The pattern must not match the empty string; the guard is a cheap necessary condition that spares most texts both passes.
+    Splitting by the pattern gives the text between the matches that extraction gives, so running lengths are the offsets. With ``context``
+    each match also has ``before``, that many code points of the text before it, and ``after``, as many up to the next match at most.
+    The pattern must not match the empty string; the guard is a cheap necessary condition that spares most texts both passes. Time is in
+    proportion to the text.
     """
-    kind = "array<struct<s:int,e:int,m:string>>"
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    walked = F.aggregate(
-        F.arrays_zip(pieces.alias("p"), found.alias("m")),
-        F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("got")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["p"]) + F.coalesce(F.char_length(x["m"]), F.lit(0))).alias("at"),
-            F.when(x["m"].isNull(), acc["got"])
-            .otherwise(
-                F.concat(
-                    acc["got"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + F.char_length(x["p"])).alias("s"),
-                            (acc["at"] + F.char_length(x["p"]) + F.char_length(x["m"])).alias("e"),
-                            x["m"].alias("m"),
-                        )
-                    ).cast(kind),
-                )
-            )
-            .alias("got"),
-        ),
-        lambda acc: acc["got"],
-    )
-    return F.when(guard, walked).otherwise(F.array().cast(kind))
+    kind = "struct<s:int,e:int,m:string>" if not context else "struct<s:int,e:int,m:string,before:string,after:string>"
+    size = lambda c: F.coalesce(F.char_length(c), F.lit(0))
+
+    def step(state: Column, x: Column) -> tuple[Column, Column]:
+        begin = state["at"] + size(x["p"])
+        end = begin + size(x["m"])
+        if not context:
+            return F.struct(end.alias("at")), F.struct(begin.alias("s"), end.alias("e"), x["m"].alias("m"))
+        before = F.right(F.concat(state["tail"], F.right(x["p"], F.lit(context))), F.lit(context))
+        tail = F.right(F.concat(before, F.right(F.coalesce(x["m"], F.lit("")), F.lit(context))), F.lit(context))
+        after = F.left(F.coalesce(x["q"], F.lit("")), F.lit(context))
+        return F.struct(end.alias("at"), tail.alias("tail")), F.struct(begin.alias("s"), end.alias("e"), x["m"].alias("m"), before.alias("before"), after.alias("after"))
+
+    def walked(pieces: Column) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m")
+        zipped = F.arrays_zip(pieces.alias("p"), found, *([F.slice(pieces, 2, F.size(pieces)).alias("q")] if context else []))
+        start = F.struct(F.lit(0).alias("at"), *([F.lit("").alias("tail")] if context else []))
+        return F.filter(running(zipped, start, step, kind), lambda x: x["m"].isNotNull())
+
+    return F.when(guard, let(F.split(text, pattern, -1), walked)).otherwise(F.array().cast(f"array<{kind}>"))
+
+
+def pieces_around(text: Column, spans: Column) -> Column:
+    """The text around disjoint spans in order (structs with s and e): what stands before each, and after the last.
+
+    A substring is found by counting from its text's start, so the text is cut into chunks first: time is in proportion to the text.
+    """
+
+    def cut(chunks: Column, own: Column) -> Column:
+        def between(begin: Column, end: Column) -> Column:
+            first = F.floor(begin / CHUNK).cast("int")
+            near = F.array_join(stretch(chunks, first, F.floor(end / CHUNK).cast("int")), "")
+            return F.substring(near, begin - first * CHUNK + 1, end - begin)
+
+        before = F.transform(own, lambda x, i: between(F.when(i > 0, F.get(own, i - 1)["e"]).otherwise(F.lit(0)), x["s"]))
+        last = F.coalesce(F.get(own, F.size(own) - 1)["e"], F.lit(0))
+        return F.concat(before, F.array(between(last, F.size(chunks) * CHUNK)))
+
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    return let(chunks, lambda c: let(spans, lambda own: cut(c, own)))
 
 
 def tagged(spans: Column, kind: str, rank: int) -> Column:
