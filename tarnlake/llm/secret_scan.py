@@ -1,10 +1,13 @@
 """Secret scans: keyword, key-id and hex patterns, and sliding-window Shannon entropy by incremental counts. Native expressions only.
 
-The entropy scan takes candidate runs of base64 or hex letters, keeps the counts of the characters of a window of fixed length in an array
-and, per step, changes only the counts of the character that enters and the one that leaves, and with them the running sum of c*log2(c).
-A run whose highest window entropy reaches the threshold of its character class is a span of kind ``entropy``, unless the allow-list knows it.
-
-Nulls: a null text is the empty text; a null doc_id stays. Repeated rows each give a row. Long texts take linear time.
+The entropy scan takes candidate runs of base64 or hex letters. It keeps the counts of the characters of a window of fixed length, one
+character a count, and per step changes only the counts of the character that enters and the one that leaves, and with them the running sum
+of c*log2(c). A run whose highest window entropy reaches the threshold of its character class (hex digits, letters only, or mixed) is a span
+of kind ``entropy``, unless the whole run is of the allow-list: a UUID, a date or number, names of words, or nothing but placeholder words.
+
+Nulls: a null text is the empty text; a null doc_id stays. Repeated rows each give a row, ties of the start go by kind. Empty tables give
+empty results; columns other than doc_id and the text are left aside, whatever they are called. Long texts and long runs take time in
+proportion to their length.
 """
 
 from __future__ import annotations
@@ -22,48 +25,63 @@ PATTERNS = {
     "assign": r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]++""",
     "access": r"AKIA[A-Z0-9]++",
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+",
-    "entropy": r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_=-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}",
+    "entropy": r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}",
 }
 GUARDS = {
     "assign": lambda t: (F.contains(t, F.lit("=")) | F.contains(t, F.lit(":"))) & t.rlike(r"""(?i:password|passwd|secret|token|api_?key)["']? *[:=]"""),
     "access": lambda t: F.contains(t, F.lit("AKIA")),
     "hex": lambda t: t.rlike(r"[0-9a-f]{24}"),
-    "entropy": lambda t: t.rlike(r"[0-9]") & t.rlike(r"[A-Za-z0-9+/_-]{20}"),
+    "entropy": lambda t: t.rlike(r"[A-Za-z0-9+/_-]{20}"),
 }
 #: Window length, and the least entropy in bits a character by class of the run.
-WINDOW, BITS = 20, {"hex": 2.9, "base64": 3.6}
-#: Runs that are known not to be secrets: UUIDs, dates and versions, file-like names, repeated placeholders, data-URI names.
-ALLOW = r"(?i)^(?:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|[0-9-]+|.*(?:example|sample|dummy|placeholder|changeme|xxxx|1234567890).*|[a-z]+(?:[_/-][a-z]+)+[0-9]{0,3}|(?:[a-z]+[/_-])*[a-z]+[0-9]{1,4})$"
+WINDOW, BITS = 20, {"hex": 2.9, "letters": 4.0, "mixed": 3.6}
+#: Runs that are known not to be secrets. Each pattern is of the whole run, so a known word inside a longer run frees nothing.
+ALLOW = (
+    r"[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}",  # UUIDs
+    r"[0-9+/_-]++",  # numbers, dates
+    r"[/_-]*+(?:[a-z]++[/_-]++)++[a-z]*+[0-9]{0,4}[/_-]*+",  # names of lower-case words
+    r"(?:[A-Z]++[/_-]++)++[A-Z]*+[0-9]{0,4}",  # constants
+    r"[/_-]*+(?:[A-Z]?+[a-z]{3,}+[/_-]*+)++[0-9]{0,4}",  # names in camel case
+    r"(?i:example|sample|dummy|placeholder|changeme|test|your|my|here|insert|api|access|key|token|secret|password|abcdefghijklmnopqrstuvwxyz|0123456789|1234567890|123456|x{3,}+|0{3,}+|[/+_=-]++)++",
+)
+#: The characters of a run; a window's count of the n-th stands as a character at the n-th place, counted from ZERO.
+LETTERS, ZERO = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", 65
 
 
 def window_entropy(run: Column, window: int = WINDOW) -> Column:
     """The highest Shannon entropy, in bits a character, of any window of that many characters; of the whole run where it is shorter."""
-    letters = F.split(run, "")
-    alphabet = F.array_distinct(letters)
-    terms = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)))
-    term = lambda c: F.get(terms, c)
-    width = F.least(F.lit(window), F.size(letters))
-
-    def step(acc: Column, i: Column) -> Column:
-        came, left = F.get(letters, i), F.when(i >= window, F.get(letters, i - window))
-        at_in = F.array_position(alphabet, came).cast("int") - 1
-        at_out = F.coalesce(F.array_position(alphabet, left).cast("int") - 1, F.lit(-1))
-        same = at_in == at_out
-        n_in, n_out = F.get(acc["n"], at_in), F.coalesce(F.get(acc["n"], F.when(at_out >= 0, at_out)), F.lit(0))
-        total = (
-            acc["t"]
-            + F.when(same, 0.0).otherwise(term(F.least(n_in + 1, F.lit(window))) - term(n_in))
-            + F.when(same | (at_out < 0), 0.0).otherwise(term(F.greatest(n_out - 1, F.lit(0))) - term(n_out))
-        )
-        full = i + 1 >= width
-        return F.struct(
-            F.transform(acc["n"], lambda c, k: c + F.when(k == at_in, 1).otherwise(0) - F.when(k == at_out, 1).otherwise(0)).alias("n"),
-            total.alias("t"),
-            F.when(full, F.least(acc["low"], total)).otherwise(acc["low"]).alias("low"),
-        )
-
-    start = F.struct(F.transform(alphabet, lambda _: F.lit(0)).alias("n"), F.lit(0.0).alias("t"), F.lit(1e9).alias("low"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(letters) - 1), start, step, lambda acc: F.log2(width.cast("double")) - acc["low"] / width)
+    terms = F.array(*(F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 2)))
+    term = lambda c: F.get(terms, F.greatest(c, F.lit(0)))
+    count = lambda counts, place: F.ascii(F.substring(counts, place, F.lit(1))) - ZERO
+    put = lambda counts, place, n: F.overlay(counts, F.char(n + ZERO), place, F.lit(1))
+
+    def scan(letters: Column) -> Column:
+        width = F.least(F.lit(window), F.size(letters))
+
+        def step(acc: Column, i: Column) -> Column:
+            came = F.position(F.get(letters, i), F.lit(LETTERS))
+            left = F.when(i >= window, F.position(F.get(letters, i - window), F.lit(LETTERS))).otherwise(F.lit(0))
+
+            def changed(x: Column) -> Column:
+                total = acc["t"] + F.when(
+                    x["a"] != x["b"],
+                    term(x["n"] + 1) - term(x["n"]) + F.when(x["b"] > 0, term(x["m"] - 1) - term(x["m"])).otherwise(0.0),
+                ).otherwise(0.0)
+                entered = put(acc["n"], x["a"], x["n"] + 1)
+                counts = F.when(x["a"] == x["b"], acc["n"]).when(x["b"] > 0, put(entered, x["b"], x["m"] - 1)).otherwise(entered)
+                return F.struct(counts.alias("n"), total.alias("t"))
+
+            places = F.struct(came.alias("a"), left.alias("b"))
+            known = C.let(places, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), count(acc["n"], x["a"]).alias("n"), count(acc["n"], x["b"]).alias("m")))
+            return C.let(
+                C.let(known, changed),
+                lambda x: F.struct(x["n"].alias("n"), x["t"].alias("t"), F.when(i + 1 >= width, F.least(acc["low"], x["t"])).otherwise(acc["low"]).alias("low")),
+            )
+
+        start = F.struct(F.lit(chr(ZERO) * len(LETTERS)).alias("n"), F.lit(0.0).alias("t"), F.lit(1e9).alias("low"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(letters) - 1), start, step, lambda acc: F.log2(width.cast("double")) - acc["low"] / width)
+
+    return C.let(F.split(run, ""), scan)
 
 
 def _kept(kind: str, x: Column) -> Column:
@@ -72,8 +90,8 @@ def _kept(kind: str, x: Column) -> Column:
         return F.length(value) >= 6
     if kind in ("access", "hex"):
         return F.length(x["m"]) >= {"access": 20, "hex": 24}[kind]
-    bits = F.when(x["m"].rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), BITS["hex"]).otherwise(BITS["base64"])
-    return ~x["m"].rlike(ALLOW) & (window_entropy(x["m"]) >= bits)
+    bits = F.when(x["m"].rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), BITS["hex"]).when(x["m"].rlike("^[A-Za-z]+$"), BITS["letters"]).otherwise(BITS["mixed"])
+    return ~x["m"].rlike(f"^(?:{'|'.join(ALLOW)})$") & (window_entropy(x["m"]) >= bits)
 
 
 def _confirmed(kind: str) -> Column:
