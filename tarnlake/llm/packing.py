@@ -1,18 +1,24 @@
 """Packing of tokenized documents into sequences, by order-preserving dynamic programming with a monotone queue.
 
-A partition's documents stand in a row, each followed by the end token. Cuts may fall at the end of a document (free), after a sentence or on
-every GRID-th token (each at a price, in tokens). The cost of a plan is its padding plus the prices of its cuts; the best plan up to a place
-is best[j] + WIDTH - (i - j) + price(i) over places j in reach, and since i adds the same to all of them, a queue of rising best[j] + j gives
-each place's best start in constant time. Stretches of STRETCH tokens are planned at once; the last window of a stretch is planned anew with
-the next one, so a partition pads one sequence only beyond what the plan chose.
-
-Ids are those of the byte-level BPE vocabulary; special-token strings in a text are ordinary text. Nulls: a null text is empty and gives the
-end token alone; a null doc_id stays. Repeated rows are packed like any others. Nothing is shuffled, and a retried task gives the same rows.
+A partition's documents stand in a row, each followed by the end token. Cuts fall at the end of a document (free) or of a sentence (at a price,
+in tokens); only where no such place comes for over WIDTH tokens may a sentence be cut, at every GRID-th of its tokens, at a higher price. The
+cost of a plan is its padding, the prices of its cuts and of its short sequences. A sequence of a power of two isn't padded, any other to WIDTH;
+one of a power of two below WIDTH costs SHORT_PRICE, or there would be many. The best plan up to place i is price(i) plus the least of
+best[j] + WIDTH - (i - j) over places j in reach and best[j] + SHORT_PRICE over places j a power of two before i. Since i adds the same to all of the first, a queue of rising best[j] + j gives their best in constant time; the second are eleven at most.
+Stretches of STRETCH tokens are planned at once; the last window of a stretch is planned anew with the next one, so a partition pads one
+sequence only beyond what the plan chose.
+
+Ids are those of the byte-level BPE vocabulary as ``encode(text, add_special_tokens=False)`` gives them: the string of a special token in a text
+is that token. Nulls: a null text is empty and gives the end token alone; a null doc_id stays. Repeated rows are packed like any others, ties
+between plans go to the longer last sequence. Very long texts are cut like others and held in memory one at a time. An empty table gives no
+rows; columns other than doc_id and text are left aside. Nothing is shuffled, and a retried task gives the same rows.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -25,10 +31,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tarnlake.llm import common as C
 
 WIDTH, END_ID, GRID, STRETCH = 1024, 0, 64, 400_000
-SENTENCE_PRICE, GRID_PRICE = 3, 12
+SENTENCE_PRICE, GRID_PRICE, SHORT_PRICE = 3, 12, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Pieces longer than this go to the library whose merges take n log n time on one long piece.
-LONG_PIECE = 1000
+#: Texts with words or blanks of 1000 characters go to the library whose merges take n log n time on one long piece.
+LONG = re.compile(r"\S{1000}|\s{1000}")
 
 
 class Vocabulary:
@@ -36,27 +42,41 @@ class Vocabulary:
 
     def __init__(self, ranks_path: str | None = None, json_path: str | None = None):
         import public_tokenizers
-        import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.load = lambda: Tokenizer.from_file(json_path or public_tokenizers.path("byte_bpe_50k.json"))
+        self.json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
+        with open(self.json_path, encoding="utf-8") as file:
+            self.special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.slow = None
-        self.long = regex.compile(rf"[^\s]{{{LONG_PIECE}}}|\s{{{LONG_PIECE}}}")
-        self.ends = np.zeros(1 + max(ranks.values()), bool)
+        self.ends = np.zeros(1 + max([*ranks.values(), *self.special.values()]), bool)
         for token, i in ranks.items():
             self.ends[i] = token.endswith((b".", b"!", b"?", b"\n"))
 
-    def encode(self, text: str) -> np.ndarray:
-        if self.long.search(text):
+    def encode(self, text: str) -> list[int]:
+        if LONG.search(text):
             if self.slow is None:
-                self.slow = self.load()
-                self.slow.encode_special_tokens = True
-            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.array(self.fast.encode_ordinary(text), np.uint32)
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_file(self.json_path)
+            return self.slow.encode(text, add_special_tokens=False).ids
+        if any(t in text for t in self.special):
+            return self.fast.encode(text, allowed_special="all")
+        return self.fast.encode_ordinary(text)
+
+
+def powers_before(places: np.ndarray, width: int) -> list[list[tuple[int, int]]]:
+    """For each place: the indexes of the places that lie a power of two below width before it, and these powers."""
+    found: list[list[tuple[int, int]]] = [[] for _ in places]
+    power = 1
+    while power < width:
+        at = np.searchsorted(places, places - power)
+        for i in np.flatnonzero((places[at] == places - power) & (places >= power)).tolist():
+            found[i].append((int(at[i]), power))
+        power *= 2
+    return found
 
 
 def plan(places: list[int], prices: list[int], width: int) -> list[int]:
@@ -64,12 +84,19 @@ def plan(places: list[int], prices: list[int], width: int) -> list[int]:
     n = len(places)
     keys, back = [0] * n, [0] * n
     queue = deque([0])
+    even = powers_before(np.array(places), width)
     for i in range(1, n):
         at = places[i]
         while places[queue[0]] < at - width:
             queue.popleft()
-        j = back[i] = queue[0]
-        key = keys[i] = keys[j] + width + prices[i]
+        j = queue[0]
+        #: keys are best + place, so a plan's cost from j on is keys[j] + width with padding and keys[j] + (i - j) without.
+        key = keys[j] + width
+        for k, power in even[i]:
+            if keys[k] + power + SHORT_PRICE < key:
+                j, key = k, keys[k] + power + SHORT_PRICE
+        back[i] = j
+        key = keys[i] = key + prices[i]
         while queue and keys[queue[-1]] > key:
             queue.pop()
         queue.append(i)
@@ -80,15 +107,17 @@ def plan(places: list[int], prices: list[int], width: int) -> list[int]:
     return cuts[::-1]
 
 
-def cut_places(tokens: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
+def cut_places(tokens: np.ndarray, doc_ends: np.ndarray, sentence_ends: np.ndarray, width: int = WIDTH, grid: int = GRID) -> tuple[np.ndarray, np.ndarray]:
     """Places where a cut may fall, from 0 to the end, and their prices."""
     n = len(tokens)
     price = np.full(n + 1, -1, np.int64)
-    price[::grid] = GRID_PRICE
     price[1:][sentence_ends[tokens]] = SENTENCE_PRICE
     price[doc_ends] = 0
     price[0] = price[n] = 0
     places = np.flatnonzero(price >= 0)
+    for k in np.flatnonzero(np.diff(places) > width):
+        price[places[k] + grid : places[k + 1] : grid] = GRID_PRICE
+    places = np.flatnonzero(price >= 0)
     return places, price[places]
 
 
@@ -111,7 +140,7 @@ class Packer:
             return []
         tokens = np.concatenate([d[1] for d in self.docs])
         ends = np.cumsum([len(d[1]) for d in self.docs])
-        places, prices = cut_places(tokens, ends, self.ends)
+        places, prices = cut_places(tokens, ends, self.ends, self.width)
         cuts = places[plan(places.tolist(), prices.tolist(), self.width)]
         if not final:
             cuts = cuts[:-1]
@@ -144,11 +173,10 @@ def pack(docs: DataFrame, width: int = WIDTH, ranks_path: str | None = None, jso
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabulary(ranks_path, json_path)
         packer = Packer(words.ends, TaskContext.get().partitionId() << 36, width)
-        end = np.array([END_ID], np.uint32)
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows += packer.add(doc_id, np.concatenate([words.encode(text or ""), end]))
+                rows += packer.add(doc_id, np.array([*words.encode(text or ""), END_ID], np.uint32))
             yield _batch(rows)
         yield _batch(packer.pack(True))
 
