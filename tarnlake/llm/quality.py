@@ -1,12 +1,14 @@
 """Quality rules on repetition, from suffix arrays of words.
 
-Documents of a batch are encoded as word numbers. Suffixes are sorted by prefix doubling (1, 2, 4, 8, ... words); a suffix whose prefix stands
-only once in its document has its final place and drops out, so each round works on the open longest-common-prefix intervals alone. The
-intervals at 8 words give the repeated spans, whose union is the covered fraction; the last open rounds give the longest repeat, whose exact
-length is found by halving steps over the ranks of the rounds.
-
-Nulls: a null text has no words; a null doc_id stays. Repeated rows each give a row. Very long texts are batches of their own: work is
-n log n in their words, memory in proportion. Empty tables give empty results; columns other than doc_id and text are left aside.
+Documents of a batch are encoded as word numbers. The suffix array comes by prefix doubling (1, 2, 4, 8, ... words); suffixes that differ drop
+out, so each round sorts the groups that are still equal alone. Ranks of the rounds give the longest common prefixes of neighbours, and these
+the longest repeat that begins at each word, the intervals' maximal repeats and their spans. The verdict limits the fraction of the words that
+lie in the union of maximal repeats of SHORT words or more, and the longest repeat. One rule doesn't come from the suffix array: texts with
+over MOST_SYMBOLS of the symbols for each word are rejected too.
+
+Nulls: a null text has no words; a null doc_id stays. Repeated rows each give a row; ties don't arise, as every count is the document's own.
+Very long texts are batches of their own: work is n log n in their words, memory in proportion. Empty tables give empty results; columns other
+than doc_id and text are left aside by :func:`measure` and kept by :func:`keep`, whatever they are called.
 """
 
 from __future__ import annotations
@@ -20,13 +22,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from tarnlake.llm import common as C
 
-WINDOW = 8
-#: Limits of the verdict: covered fraction of the words, and longest repeat, in words and as a fraction of the words.
-MOST_COVERED, LONGEST_WORDS, LONGEST_FRACTION = 0.30, 50, 0.25
-SYMBOLS = "[#*$%&|<>]"
-#: Symbols for each word, and the fraction of words that only repeat the word before (repeats at distance one).
-MOST_SYMBOLS, MOST_STUTTER = 0.10, 0.20
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long, n_stutter long"
+#: Words of the contract's windows, and of the shortest repeat that counts for the verdict; powers of two.
+WINDOW, SHORT = 8, 4
+#: Limits of the verdict: fraction of the words in maximal repeats, and longest repeat, in words and as a fraction of the words.
+MOST_COVERED, LONGEST_WORDS, LONGEST_FRACTION = 0.40, 50, 0.25
+#: The rule beside the method: symbols for each word.
+SYMBOLS, MOST_SYMBOLS = "[#*$%&|<>]", 0.10
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_maximal_words long, longest_repeat long"
 BATCH_CHARS = 4_000_000
 
 
@@ -46,75 +48,95 @@ def _split(texts: pa.Array, pattern: str, regex: bool) -> tuple[pa.Array, np.nda
     return flat.filter(full), kept[ends]
 
 
-def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of keys that stand more than once, by key, and their ranks."""
-    order = np.argsort(keys, kind="stable")
-    s = keys[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
-    alone = new.copy()
-    alone[:-1] &= new[1:]
-    return order[~alone], np.cumsum(new)[~alone]
-
-
-def repeats(codes: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per document: words covered by repeated windows of WINDOW words, and the length of the longest repeat of at least WINDOW words."""
+class Suffixes:
+    """The suffix array of word codes in documents, by prefix doubling, with the ranks of every power of two.
+
+    A rank is the place of a group of suffixes that are equal as far as they were compared; suffixes of different documents are never equal.
+    Each round compares twice as many words and sorts the groups that still have several members only.
+    """
+
+    def __init__(self, codes: np.ndarray, doc: np.ndarray):
+        n = len(codes)
+        self.n, self.doc = n, doc
+        ends = np.flatnonzero(np.append(doc[1:] != doc[:-1], np.ones(min(1, n), bool))) + 1
+        self.end = ends[np.searchsorted(ends, np.arange(n), "right")] if n else ends
+        key = doc.astype(np.int64) * (int(codes.max()) + 1 if n else 1) + codes
+        self.order = np.argsort(key, kind="stable")
+        self.ranks: list[np.ndarray] = []
+        rank = np.empty(n, np.int64)
+        rank[self.order], open_ = self._groups(key[self.order], np.arange(n))
+        size = 1
+        while True:
+            self.ranks.append(rank.copy())
+            if not len(open_):
+                return
+            own = self.order[open_]
+            next_ = own + size
+            inside = next_ < self.end[own]
+            key = np.where(inside, rank[np.where(inside, next_, 0)], -1)
+            turn = np.lexsort((key, rank[own]))
+            own, key = own[turn], key[turn] + 1
+            self.order[open_] = own
+            groups = rank[own] * (n + 1) + key
+            rank[own], open_ = self._groups(groups, open_)
+            size *= 2
+
+    @staticmethod
+    def _groups(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ranks of sorted keys at these places of the array, and the places of keys that stand more than once."""
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        first = np.flatnonzero(new)
+        sizes = np.diff(np.append(first, len(keys)))
+        return np.repeat(places[first], sizes), places[np.repeat(sizes > 1, sizes)]
+
+    def lcp(self, least: int) -> np.ndarray:
+        """For each place of the suffix array but the first: how many words it has in common with the one before, or 0 if under ``least``,
+        a power of two. Found by adding powers of two from the highest down."""
+        found = np.zeros(max(0, self.n - 1), np.int64)
+        level = least.bit_length() - 1
+        if level >= len(self.ranks):
+            return found
+        in_order = self.ranks[level][self.order]
+        pairs = np.flatnonzero(in_order[1:] == in_order[:-1])
+        a, b = self.order[pairs], self.order[pairs + 1]
+        common = np.zeros(len(pairs), np.int64)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            x, y = a + common, b + common
+            inside = (x < self.end[a]) & (y < self.end[b])
+            same = inside & (self.ranks[k][np.where(inside, x, 0)] == self.ranks[k][np.where(inside, y, 0)])
+            common += same.astype(np.int64) << k
+        found[pairs] = common
+        return found
+
+
+def _covered(starts: np.ndarray, lengths: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """Per document, the words in the union of spans."""
+    marks = np.zeros(len(doc) + 1, np.int64)
+    np.add.at(marks, starts, 1)
+    np.add.at(marks, starts + lengths, -1)
+    return np.bincount(doc[np.cumsum(marks[:-1]) > 0], minlength=n_docs)
+
+
+def repeats(codes: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per document: words covered by repeats of WINDOW words or more, words covered by maximal repeats of SHORT words or more, and the length
+    of the longest repeat of WINDOW words or more.
+
+    The longest repeat that begins at a word is the larger of its suffix's common prefixes with its neighbours in the suffix array. It is
+    maximal where the word before doesn't begin one that is longer by one.
+    """
     n = len(codes)
-    covered, longest = np.zeros(n_docs, np.int64), np.zeros(n_docs, np.int64)
-    if n < 2:
-        return covered, longest
-    width = int(codes.max()) + 1
-    rank = {1: np.where(True, codes, 0).astype(np.int64)}
-    #: The first round sorts pairs within documents; a pair that crosses documents can't stand twice.
-    if n_docs * width * width < 2**62:
-        keys = (doc[:-1].astype(np.int64) * width + codes[:-1]) * width + codes[1:]
-    else:
-        first = np.unique(doc[:-1].astype(np.int64) * width + codes[:-1], return_inverse=True)[1]
-        keys = first.astype(np.int64) * width + codes[1:]
-    keys[doc[:-1] != doc[1:]] = -1 - np.flatnonzero(doc[:-1] != doc[1:])
-    at, ranks = _repeated(keys)
-    size = 2
-    while True:
-        full = np.full(n, -1, np.int64)
-        full[at] = ranks
-        rank[size] = full
-        if size == WINDOW:
-            marks = np.zeros(n + 1, np.int32)
-            np.add.at(marks, at, 1)
-            np.add.at(marks, at + WINDOW, -1)
-            covered += np.bincount(doc[np.cumsum(marks[:-1]) > 0], minlength=n_docs)
-        if not len(at):
-            break
-        if size >= WINDOW:
-            longest[doc[at]] = size
-        there = at[at + size < n]
-        there = there[full[there + size] >= 0]
-        picked, ranks = _repeated(full[there] * (n + 1) + full[there + size])
-        at = there[picked]
-        size *= 2
-    top = {d: s for d, s in enumerate(longest) if s}
-    for size in sorted(set(top.values())):
-        own = longest == size
-        base = rank[size]
-        at = np.flatnonzero((base >= 0) & own[doc])
-        ranks, length = base[at], np.full(n_docs, size, np.int64)
-        step = size // 2
-        while step and len(at):
-            #: A repeat of ``length + step`` words is one of ``length`` words with the last ``size`` of them shifted by step.
-            end = at + length[doc[at]] + step - size
-            ok = end < n
-            ok[ok] &= base[end[ok]] >= 0
-            keys = ranks[ok] * (n + 1) + base[end[ok]]
-            picked, new = _repeated(keys)
-            found = at[ok][picked]
-            grown = np.zeros(n_docs, bool)
-            grown[doc[found]] = True
-            stay = ~grown[doc[at]]
-            at, ranks = np.concatenate([at[stay], found]), np.concatenate([ranks[stay], new + (ranks.max() + 1)])
-            length[grown] += step
-            step //= 2
-        longest[own] = length[own]
-    return covered, longest
+    suffixes = Suffixes(codes, doc)
+    common = np.concatenate([[0], suffixes.lcp(SHORT), [0]])
+    longest = np.zeros(n, np.int64)
+    longest[suffixes.order] = np.maximum(common[:-1], common[1:])[:n]
+    extended = np.zeros(n, bool)
+    extended[1:] = (longest[:-1] == longest[1:] + 1) & (doc[1:] == doc[:-1])
+    maximal = np.flatnonzero((longest >= SHORT) & ~extended)
+    long = maximal[longest[maximal] >= WINDOW]
+    top = np.zeros(n_docs, np.int64)
+    np.maximum.at(top, doc[long], longest[long])
+    return _covered(long, longest[long], doc, n_docs), _covered(maximal, longest[maximal], doc, n_docs), top
 
 
 def measures(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
@@ -129,7 +151,7 @@ def measures(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
     distinct = np.unique(line_doc * (len(line_code) + 1) + line_code) // (len(line_code) + 1)
     codes = words.dictionary_encode().indices.to_numpy().astype(np.int64)
     doc = np.repeat(np.arange(n), np.diff(w_at))
-    covered, longest = repeats(codes, doc, n)
+    covered, maximal, longest = repeats(codes, doc, n)
     columns = [
         ids,
         np.diff(w_at),
@@ -137,8 +159,8 @@ def measures(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         pc.count_substring_regex(texts, SYMBOLS).to_numpy().astype(np.int64),
         n_lines - np.bincount(distinct, minlength=n),
         covered,
+        maximal,
         longest,
-        _sums(np.append((codes[1:] == codes[:-1]) & (doc[1:] == doc[:-1]), np.zeros(min(1, len(codes)), bool)).astype(np.int64), w_at),
     ]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in columns], [f.split()[0] for f in SCHEMA.split(", ")])
 
@@ -164,9 +186,8 @@ def verdicts(prefix: str = "") -> tuple[Column, Column]:
     """base_failed, and rejected by this operator's own limits, from the counts."""
     c = lambda name: F.col(prefix + name)
     failed = (c("n_words") < 20) | (c("n_repeat_words") * 100 > c("n_words") * 30)
-    repetitive = (c("n_repeat_words") > c("n_words") * MOST_COVERED) | ((c("longest_repeat") >= LONGEST_WORDS) & (c("longest_repeat") > c("n_words") * LONGEST_FRACTION))
-    junk = (c("n_symbols") > c("n_words") * MOST_SYMBOLS) | (c("n_stutter") > c("n_words") * MOST_STUTTER)
-    return failed, repetitive | junk
+    repetitive = (c("n_maximal_words") > c("n_words") * MOST_COVERED) | ((c("longest_repeat") >= LONGEST_WORDS) & (c("longest_repeat") > c("n_words") * LONGEST_FRACTION))
+    return failed, repetitive | (c("n_symbols") > c("n_words") * MOST_SYMBOLS)
 
 
 def measure(docs: DataFrame) -> DataFrame:
