@@ -59,6 +59,13 @@ def quality(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), longest
 
 
+def covered(text, least):
+    """Words in repeats of ``least`` words or more."""
+    w = WORD.findall(text or "")
+    windows = Counter(tuple(w[i : i + least]) for i in range(len(w) - least + 1))
+    return len({j for i in range(len(w) - least + 1) if windows[tuple(w[i : i + least])] > 1 for j in range(i, i + least)})
+
+
 def decontaminate(docs, items):
     windows = defaultdict(set)
     for i, t in items:
