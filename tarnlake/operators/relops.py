@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tarnlake.functions import expr, prefix
 
@@ -53,6 +53,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def estimated_rows(df: DataFrame) -> float:
+    """Rows by that estimate, at eight bytes a number and twenty a text."""
+    width = sum(20 if isinstance(f.dataType, (T.StringType, T.BinaryType)) else 8 for f in df.schema.fields)
+    return max(1.0, estimated_bytes(df) / max(1, width))
+
+
 def join(
     left: DataFrame,
     right: DataFrame,
@@ -89,7 +95,10 @@ def cross_join(left: DataFrame, right: DataFrame, projections: Mapping[str, Expr
 
 
 def theta_join(left: DataFrame, right: DataFrame, predicate: Expression, projections: Mapping[str, Expression] | None = None) -> DataFrame:
-    """Pairs that satisfy any predicate over both sides."""
+    """Pairs that satisfy any predicate over both sides; a side of a checked size is broadcast, else pairs are made in blocks."""
+    sizes = estimated_bytes(left), estimated_bytes(right)
+    if min(sizes) <= BROADCAST_BYTES:
+        left, right = (left.hint("broadcast"), right) if sizes[0] < sizes[1] else (left, right.hint("broadcast"))
     pairs = left.crossJoin(right)
     return _project(pairs.filter(column(pairs, predicate)), projections)
 

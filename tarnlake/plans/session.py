@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnlake.functions.expr import Kind, kind_of
+from tarnlake.operators.relops import estimated_rows
 from tarnlake.plans import estimate, lowering
 from tarnlake.plans.checker import VALID, Checker
 from tarnlake.plans.parser import CreateTable, Select, parse
@@ -68,17 +69,15 @@ class Engine:
         query = parse(text)
         return Checker(self._schemas(query)).check(query) if isinstance(query, Select) else VALID
 
-    def _statistics(self, query: Select) -> dict[str, estimate.Statistics] | None:
-        if not self.catalog or any(n not in self.catalog.tables for n, _ in query.tables):
-            return None
-        found = {alias: self.catalog.statistics(n) for n, alias in query.tables}
-        return None if None in found.values() else found
+    def _statistics(self, query: Select) -> dict[str, estimate.Statistics]:
+        """What is known by alias: measured statistics, or rows estimated from the bytes of the files. No job is run for it."""
+        found = {n: (self.catalog.statistics(n) if self.catalog and n in self.catalog.tables and n not in self.frames else None) or estimate.Statistics(estimated_rows(self.table(n))) for n in {n for n, _ in query.tables}}
+        return {alias: found[n] for n, alias in query.tables}
 
-    def cost(self, text: str) -> float | None:
-        """The plan's estimated cost, where all tables have statistics."""
+    def cost(self, text: str) -> float:
+        """The estimated cost of the plan that is run."""
         query = parse(text)
-        known = self._statistics(query)
-        return estimate.plan_cost(query, known) if known else None
+        return estimate.plan_cost(query, self._statistics(query))
 
     def sql(self, text: str) -> DataFrame:
         """The result of a query."""
@@ -86,8 +85,7 @@ class Engine:
         if not isinstance(query, Select):
             raise ValueError("sql() takes a query; use execute()")
         Checker(self._schemas(query)).require(query)
-        known = self._statistics(query)
-        return lowering.run(query, {n: self.table(n) for n, _ in query.tables}, estimate.scan_rows(query, known) if known else None)
+        return lowering.run(query, {n: self.table(n) for n, _ in query.tables}, self._statistics(query) if len(query.tables) > 2 else None)
 
     def load(self, name: str, path: str) -> estimate.Statistics:
         return self.catalog.load(name, path)

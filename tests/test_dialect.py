@@ -5,7 +5,7 @@ import pytest
 from tarnlake.functions import prefix
 from tarnlake.functions.expr import Aggregate, Attr, Binary, Kind, Literal, Unary
 from tarnlake.plans.checker import VALID, Checker
-from tarnlake.plans.estimate import Statistics, plan_cost, scan_rows, selectivity
+from tarnlake.plans.estimate import Planner, Statistics, plan_cost, scan_rows, selectivity
 from tarnlake.plans.lexer import ParseError, tokens
 from tarnlake.plans.parser import CreateTable, parse
 from tarnlake.plans.session import Engine, statements
@@ -163,3 +163,48 @@ def test_connected_tables_join_without_a_cross_product(spark):
     e = Engine(spark, frames={**frames(spark), "w": spark.createDataFrame([(1, 2)], "a int, b int")})
     plan = e.sql("select x.i from t as x, u as y, w as z where x.i = z.a and z.b = y.k")._jdf.queryExecution().optimizedPlan().toString()
     assert "Inner" in plan and "Cross" not in plan
+
+
+def test_join_trees_begin_at_filtered_tables():
+    """Two chains to one filtered table each are joined apart, then with each other."""
+    text = "select p.x from part as p, line as l1, line as l2, cust as c1, cust as c2 where (l1.p = l2.p) and (l1.c = c1.k) and (l2.c = c2.k) and (c1.n = 1) and (c2.n = 2) and (p.k = l2.p)"
+    stats = {"p": Statistics(1000, {"k": 1000}), **{f"l{i}": Statistics(100_000, {"p": 1000, "c": 500}) for i in (1, 2)}, **{f"c{i}": Statistics(500, {"k": 500, "n": 500}) for i in (1, 2)}}
+    best = Planner(parse(text), stats).best()
+
+    def rows_of(tree):
+        return {tree} if isinstance(tree, str) else rows_of(tree[0]) | rows_of(tree[1])
+
+    def parts(tree):
+        return [] if isinstance(tree, str) else [frozenset(rows_of(tree)), *parts(tree[0]), *parts(tree[1])]
+
+    assert {frozenset({"l1", "c1"}), frozenset({"l2", "c2"})} <= set(parts(best.tree))
+    assert best.cost < 250_000
+    greedy = Planner(parse(text), stats)
+    assert rows_of(greedy._greedy(greedy.leaves).tree) == rows_of(best.tree) == {"p", "l1", "l2", "c1", "c2"}
+
+
+def test_products_only_where_nothing_connects():
+    text = "select a.x from t as a, t as b, t as c, t as d where (a.x = b.x) and (c.x = d.x)"
+    best = Planner(parse(text), {a: Statistics(10.0) for a in "abcd"}).best()
+    assert {frozenset(x) for x in best.tree} == {frozenset("ab"), frozenset("cd")}
+
+
+def test_tables_that_only_multiply(spark):
+    """Tables that nothing connects and nothing names are counted, not joined."""
+    e = Engine(spark, frames={**frames(spark), "none": spark.createDataFrame([], "x int")})
+    assert rows(e, "select a.s, sum(a.i), avg(a.i), sum(1) from t as a, u as b group by a.s") == [("x", 24, 4, 6), ("y", 6, 2, 3)]
+    assert rows(e, "select a.s, sum(a.i) from t as a, u as b, u as c where b.k = c.k and b.k > 2 group by a.s") == [("x", 16), ("y", 4)]
+    assert rows(e, "select sum(1) from t as a, u as b") == [(9,)]
+    assert rows(e, "select a.s from t as a, u as b group by a.s") == [("x",), ("y",)]
+    assert rows(e, "select a.s, sum(1) from t as a, none as b group by a.s") == []
+    assert rows(e, "select sum(1) from t as a, none as b") == []
+    assert rows(e, "select a.s, sum(1) from t as a, u as b where 1 = 2 group by a.s") == []
+    plan = e.sql("select a.s, sum(1) from t as a, u as b group by a.s")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
+
+
+def test_literal_zero_is_refused_before_planning(spark):
+    e = Engine(spark, frames=frames(spark))
+    assert e.check("select a.i / 0 from t as a").startswith("DIVIDE: ")
+    assert e.check("select a.d / 0.0 from t as a").startswith("DIVIDE: ")
+    assert e.check("select a.i / a.i from t as a") == VALID
