@@ -1,14 +1,14 @@
-"""Tables by name, kept as Parquet under a folder, with a JSON side file of schemas, kinds of storage and statistics.
+"""Tables by name, kept as Parquet under a folder of any scheme, with a JSON side file of schemas, kinds of storage and statistics.
 
 A clustered table (``bplustree``) is range-partitioned and sorted by its key when written, so row-group bounds let range selections skip
-most of it. Re-creating a table replaces it. Statistics are unknown until a load.
+most of it. Re-creating a table replaces it. Statistics are unknown until a load. A table written anew gets a new folder, to which the side file
+then points, so a crash in between leaves the old table whole.
 """
 
 from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, types as T
 
@@ -16,6 +16,7 @@ from tarnlake.functions.expr import SPARK_TYPES, Kind
 from tarnlake.plans.estimate import Statistics
 from tarnlake.plans.parser import CreateTable
 from tarnlake.sources import stats, textio
+from tarnlake.sources.files import Files
 
 
 class CatalogError(ValueError):
@@ -30,6 +31,8 @@ class TableInfo:
     sort_attribute: str | None = None
     rows: float | None = None
     distinct: dict[str, float] = field(default_factory=dict)
+    #: Which writing of the table holds.
+    version: int = 0
 
     def kinds(self) -> dict[str, Kind]:
         return {c: Kind(k) for c, k in self.schema.items()}
@@ -44,17 +47,16 @@ class Catalog:
     FILE = "catalog.json"
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
+        self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
         self.tables: dict[str, TableInfo] = {}
         self.values: dict[str, object] = {}
-        if (self.root / self.FILE).exists():
-            saved = json.loads((self.root / self.FILE).read_text())
+        if at := self.files.newest(f"{self.root}/{self.FILE}"):
+            saved = json.loads(self.files.read(at))
             self.tables = {n: TableInfo(**t) for n, t in saved["tables"].items()}
             self.values = saved["values"]
 
     def save(self) -> None:
-        self.root.mkdir(parents=True, exist_ok=True)
-        (self.root / self.FILE).write_text(json.dumps({"tables": {n: asdict(t) for n, t in self.tables.items()}, "values": self.values}, indent=1))
+        self.files.write(f"{self.root}/{self.FILE}", json.dumps({"tables": {n: asdict(t) for n, t in self.tables.items()}, "values": self.values}, indent=1))
 
     def put(self, key: str, value: str | int | list[str]) -> None:
         self.values[key] = value
@@ -71,7 +73,8 @@ class Catalog:
         return self.tables[name]
 
     def path(self, name: str) -> str:
-        return str(self.root / "tables" / name)
+        version = self.info(name).version
+        return f"{self.root}/tables/{name}" + (f"-{version}" if version else "")
 
     def create(self, statement: CreateTable) -> TableInfo:
         columns = [c for c, _ in statement.attributes]
@@ -105,11 +108,16 @@ class Catalog:
         self.write(name, df, "append")
 
     def recluster(self, name: str) -> None:
-        """Writes a clustered table anew after appends."""
-        beside = self.path(f"{name}.reclustered")
-        info = self.info(name)
-        self.table(name).write.mode("overwrite").parquet(beside)
-        self.write(name, self.spark.read.schema(info.struct()).parquet(beside))
+        """Writes a clustered table anew after appends; the old folder goes when the side file names the new one."""
+        info, old, rows = self.info(name), self.path(name), self.table(name)
+        info.version += 1
+        try:
+            self.write(name, rows)
+        except BaseException:
+            info.version -= 1
+            raise
+        self.save()
+        self.files.delete(old)
 
     def load(self, name: str, path: str) -> Statistics:
         """Replaces a table's rows by those of text files, and measures it."""

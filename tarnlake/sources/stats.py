@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tarnlake.plans.estimate import Statistics
 
-ERROR = 0.02
+ERROR = 0.05
 
 
 def distinct_counts(df: DataFrame) -> DataFrame:

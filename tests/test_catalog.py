@@ -149,3 +149,28 @@ def test_stretches_of_a_scan(spark, engine):
     assert engine.table("t").count() == 101
     engine.catalog.clear("t")
     assert engine.table("t").count() == 0 and engine.catalog.statistics("t") is None
+
+
+def test_stretches_read_their_files_only(spark, tmp_path):
+    path = str(tmp_path / "files")
+    spark.range(0, 100, 1, 1).write.option("maxRecordsPerFile", 10).parquet(path)
+    table = spark.read.parquet(path)
+    chosen = scan.stretches(table, [(1, 2), (7, 20)])
+    assert sorted(r.id for r in chosen.collect()) == [*range(10, 30), *range(70, 100)]
+    assert len(chosen.inputFiles()) == 5
+    assert scan.stretches(table, []).count() == 0 == scan.stretches(table, [(50, 60)]).count()
+    assert scan.stretches(table, [(0, 1), (1, 1)]).count() == 30
+
+
+def test_catalog_under_a_scheme(spark, tmp_path):
+    """Roots with a scheme, reclustering into a new folder, and a side file whose last renaming didn't happen."""
+    root = f"file://{tmp_path}/db"
+    catalog = Catalog(spark, root)
+    catalog.create(parse("create table t (k int) as bplustree on k"))
+    catalog.write("t", spark.createDataFrame([(3,), (1,)], "k int"))
+    before = catalog.path("t")
+    catalog.recluster("t")
+    assert catalog.path("t") != before and not catalog.files.exists(before)
+    assert sorted(r.k for r in Catalog(spark, root).table("t").collect()) == [1, 3]
+    (tmp_path / "db" / "catalog.json").rename(tmp_path / "db" / "catalog.json.0123")
+    assert Catalog(spark, root).names() == ["t"]
