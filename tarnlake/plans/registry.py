@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tarnlake.functions.expr import kind_of
 from tarnlake.operators import relops as R
+from tarnlake.plans.parser import CreateTable
 from tarnlake.plans.session import Engine
 from tarnlake.sources import stats, textio
+from tarnlake.sources.catalog import Catalog
+from tarnlake.sources.scan import stretches
 from tarnlake.sources.scratch import scratch_path
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -188,6 +192,59 @@ _dialect(
     where c1.c_name = 'Customer#000000007' and c2.c_name = 'Customer#000001017'""",
 )
 
+# The same benchmark queries as texts of the dialect. Sums and averages of doubles depend on the order of rows in their last bits, so they are rounded.
+
+
+def _rounded(name: str, text: str, oracle: str, digits: int) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = Engine.over_parquet(spark, sf_dir, TABLES).sql(text)
+        return found.select(*(F.round(c, digits).alias(c) if kind == "double" else F.col(c) for c, kind in found.dtypes))
+
+    _QUERIES[name] = Query(run, oracle)
+
+
+_rounded(
+    "sql03_global_agg",
+    'select sum(1), avg((o.o_totalprice - 32592.14) / 32592.14) from orders as o where (o.o_orderstatus = "F") and (o.o_orderpriority < "2-HIGH" or o.o_orderpriority = "2-HIGH")',
+    "select count(*) as output_0, round(avg((o_totalprice - 32592.14::double) / 32592.14::double), 6) as output_1 from orders where o_orderstatus = 'F' and o_orderpriority <= '2-HIGH' having count(*) > 0",
+    6,
+)
+_rounded(
+    "sql04_group_concat",
+    'select avg(o.o_totalprice), "order priority was " + o.o_orderpriority from orders as o where (o.o_orderstatus = "F") group by o.o_orderpriority',
+    "select round(avg(o_totalprice), 4) as output_0, 'order priority was ' || o_orderpriority as output_1 from orders where o_orderstatus = 'F' group by o_orderpriority",
+    4,
+)
+_rounded(
+    "sql05_pricing",
+    """select "return flag was " + l.l_returnflag, sum(l.l_quantity), sum(l.l_extendedprice), sum(l.l_extendedprice * (1 - l.l_discount)), sum(l.l_extendedprice * (1 - l.l_discount) * (1 + l.l_tax)),
+    avg(l.l_quantity), avg(l.l_extendedprice), avg(l.l_discount), sum(1) from lineitem as l where (l.l_shipdate < "1998-12-01") and (l.l_shipdate > "1998-06-01") group by l.l_returnflag""",
+    """select 'return flag was ' || l_returnflag as output_0, round(sum(l_quantity), 2) as output_1, round(sum(l_extendedprice), 2) as output_2, round(sum(l_extendedprice * (1 - l_discount)), 2) as output_3,
+    round(sum(l_extendedprice * ((1 - l_discount) * (1 + l_tax))), 2) as output_4, round(avg(l_quantity), 2) as output_5, round(avg(l_extendedprice), 2) as output_6, round(avg(l_discount), 2) as output_7,
+    count(*) as output_8 from lineitem where l_shipdate < timestamp '1998-12-01' and l_shipdate > timestamp '1998-06-01' group by l_returnflag""",
+    2,
+)
+_rounded(
+    "sql07_join5",
+    """select l.l_partkey, avg(l.l_extendedprice) from part as p, lineitem as l, supplier as s, nation as n, region as r where (p.p_partkey = l.l_partkey) and (s.s_suppkey = l.l_suppkey)
+    and (s.s_nationkey = n.n_nationkey) and (n.n_regionkey = r.r_regionkey) and (r.r_name = "AMERICA") group by l.l_partkey""",
+    """select l_partkey as output_0, round(avg(l_extendedprice), 4) as output_1 from part join lineitem on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey join nation on s_nationkey = n_nationkey
+    join region on n_regionkey = r_regionkey where r_name = 'AMERICA' group by l_partkey""",
+    4,
+)
+_rounded(
+    "sql10_join9",
+    """select "date was " + o.o_orderdate, avg(l.l_extendedprice * (1 - l.l_discount)) from part as p, supplier as s, lineitem as l, orders as o, customer as c, nation as n1, nation as n2, region as r1, region as r2
+    where (p.p_partkey = l.l_partkey) and (s.s_suppkey = l.l_suppkey) and (l.l_orderkey = o.o_orderkey) and (o.o_custkey = c.c_custkey) and (c.c_nationkey = n1.n_nationkey) and (n1.n_regionkey = r1.r_regionkey)
+    and (r1.r_name = "AMERICA") and (n2.n_regionkey = r2.r_regionkey) and (r2.r_name = "MIDDLE EAST") and (s.s_nationkey = n2.n_nationkey) and (o.o_orderdate > "1995-01-01" or o.o_orderdate = "1995-01-01")
+    and (o.o_orderdate < "1996-12-31" or o.o_orderdate = "1996-12-31") and (p.p_type = "ECONOMY") group by o.o_orderdate""",
+    """select 'date was ' || strftime(o_orderdate, '%Y-%m-%d') as output_0, round(avg(l_extendedprice * (1 - l_discount)), 4) as output_1 from lineitem join part on p_partkey = l_partkey
+    join supplier on s_suppkey = l_suppkey join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation n1 on c_nationkey = n1.n_nationkey join region r1 on n1.n_regionkey = r1.r_regionkey
+    join nation n2 on s_nationkey = n2.n_nationkey join region r2 on n2.n_regionkey = r2.r_regionkey where r1.r_name = 'AMERICA' and r2.r_name = 'MIDDLE EAST' and p_type = 'ECONOMY'
+    and o_orderdate >= timestamp '1995-01-01' and o_orderdate <= timestamp '1996-12-31' group by o_orderdate""",
+    4,
+)
+
 # Scans, projections and predicates.
 
 
@@ -364,14 +421,31 @@ def sort_filtered(t):
     return R.sort(t("customer"), "[c_acctbal]", "> ([c_acctbal], double[0.0])").select("c_custkey", "c_acctbal")
 
 
-@_query("select s_name from supplier order by s_name limit 30")
+def _rows_of(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(values, schema)
+
+
+def _catalog(spark: SparkSession) -> Catalog:
+    """An empty catalog in the shared folder."""
+    return Catalog(spark, scratch_path(spark, "catalog"))
+
+
+def _table_of(catalog: Catalog, name: str, df: DataFrame, sort_attribute: str | None = None) -> None:
+    """A table of the catalog with a DataFrame's columns and rows."""
+    catalog.create(CreateTable(name, tuple((f.name, kind_of(f.dataType)) for f in df.schema.fields), sort_attribute))
+    catalog.write(name, df)
+
+
+@_query("select s_name || '|' as line from supplier order by s_name limit 30")
 def display_limit(t):
-    return t("supplier").select("s_name").orderBy("s_name").limit(30)
+    names = t("supplier").select("s_name").orderBy("s_name")
+    return _rows_of(names.sparkSession, [(x,) for x in Engine.display(names)], "line string")
 
 
 @_query("select count(*) as n_rows from lineitem")
 def tuple_count(t):
-    return R.aggregate(t("lineitem"), {"n_rows": ("count", "int[1]")})
+    lines = t("lineitem").select("l_orderkey")
+    return _rows_of(lines.sparkSession, [(int(stats.measure(lines).rows),)], "n_rows long")
 
 
 @_query(None)
@@ -379,6 +453,16 @@ def approx_distinct(t):
     return stats.distinct_counts(t("lineitem"))
 
 
+@_query("select true as rows_exact, true as distinct_within_a_sixth")
+def approx_distinct_within(t):
+    """The sketch's estimates against exact counts."""
+    columns = ("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
+    lines = t("lineitem").select(*columns)
+    exact = lines.agg(F.count(F.lit(1)).alias("n"), *(F.countDistinct(c).alias(f"exact_{c}") for c in columns))
+    near = [F.abs(F.col(c) - F.col(f"exact_{c}")) * 6 <= F.col(f"exact_{c}") for c in columns]
+    return stats.distinct_counts(lines).crossJoin(exact).select((F.col("n_rows") == F.col("n")).alias("rows_exact"), reduce(lambda a, b: a & b, near).alias("distinct_within_a_sixth"))
+
+
 @_query("select cast(s_suppkey as varchar) || '|' || s_name || '|' || cast(s_nationkey as varchar) || '|' || printf('%.6f', s_acctbal) || '|' as value from supplier")
 def text_dump(t):
     return textio.lines(t("supplier"))
@@ -395,18 +479,88 @@ def text_round_trip(t):
 @_query("select o_orderkey, o_totalprice from orders where o_orderkey between 1000 and 1200")
 def clustered_range(t):
     orders = t("orders").select("o_orderkey", "o_totalprice")
-    path = scratch_path(orders.sparkSession, "clustered")
-    orders.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
-    return R.range_selection(orders.sparkSession.read.parquet(path), "o_orderkey", 1000, 1200)
+    catalog = _catalog(orders.sparkSession)
+    _table_of(catalog, "orders", orders, "o_orderkey")
+    return R.range_selection(catalog.table("orders"), "o_orderkey", 1000, 1200)
 
 
-@_query("select n_nationkey, n_name from nation union all select n_nationkey, n_name from nation where n_nationkey < 5")
+@_query("select cast(n_nationkey as integer) as n_nationkey, n_name from nation union all select cast(n_nationkey as integer), n_name from nation where n_nationkey < 5")
 def append_rows(t):
     nation = t("nation").select("n_nationkey", "n_name")
-    path = scratch_path(nation.sparkSession, "appended")
-    nation.write.parquet(path)
-    nation.filter("n_nationkey < 5").write.mode("append").parquet(path)
-    return nation.sparkSession.read.schema(nation.schema).parquet(path)
+    catalog = _catalog(nation.sparkSession)
+    _table_of(catalog, "nation", nation)
+    catalog.append("nation", nation.filter("n_nationkey < 5"))
+    return catalog.table("nation")
+
+
+@_query("select n_nationkey, n_name from nation where n_nationkey between 5 and 15 union all select n_nationkey, n_name from nation where n_nationkey >= 20")
+def scan_stretches(t):
+    """Files hold five rows each: the second and third, two rows of the fourth by a filter, and the last."""
+    nation = t("nation").select("n_nationkey", "n_name")
+    path = scratch_path(nation.sparkSession, "files")
+    nation.coalesce(1).sortWithinPartitions("n_nationkey").write.option("maxRecordsPerFile", 5).parquet(path)
+    table = nation.sparkSession.read.schema(nation.schema).parquet(path)
+    return stretches(table, [(1, 2), (4, 4)]).unionByName(stretches(table, [(3, 3)]).filter("n_nationkey < 16"))
+
+
+@_query("select cast(k as integer) as k, v from (select distinct n_regionkey as k from nation) cross join (values ('new')) t(v)")
+def clear_and_rewrite(t):
+    """A cleared table holds what is written after it, clustered tables after reclustering too."""
+    nation = t("nation")
+    catalog = _catalog(nation.sparkSession)
+    keys = nation.select(F.col("n_regionkey").alias("k"), F.lit("old").alias("v"))
+    _table_of(catalog, "pairs", keys, "k")
+    catalog.clear("pairs")
+    catalog.append("pairs", keys.select("k", F.lit("new").alias("v")).distinct())
+    catalog.recluster("pairs")
+    return Catalog(nation.sparkSession, catalog.root).table("pairs")
+
+
+@_query("select cast(n_nationkey as integer) as output_0, r_name || ' ' || n_name as output_1 from nation join region on n_regionkey = r_regionkey where r_name = 'ASIA'")
+def load_and_query(t):
+    """Text files loaded by statements, queried through the session, kept by the catalog."""
+    spark = t("nation").sparkSession
+    catalog = _catalog(spark)
+    for name, columns in (("nation", ["n_nationkey", "n_name", "n_regionkey"]), ("region", ["r_regionkey", "r_name"])):
+        path = scratch_path(spark, name)
+        textio.write_text(t(name).select(*columns), path)
+        kinds = ", ".join(f"{f.name} {kind_of(f.dataType).value}" for f in t(name).select(*columns).schema.fields)
+        Engine(spark, catalog).run([f"create table {name} ({kinds}) as bplustree on {columns[0]};", f"load {name} from {path};", "exit;"], lambda _: None)
+    return Engine(spark, Catalog(spark, catalog.root)).sql('select n.n_nationkey, r.r_name + " " + n.n_name from nation as n, region as r where (n.n_regionkey = r.r_regionkey) and (r.r_name = "ASIA")')
+
+
+@_query("select 25 as nations, 5 as regions, true as cheaper_in_order")
+def statistics_and_cost(t):
+    """Measured rows, and that the cost of a filtered join is below that of the unfiltered one."""
+    spark = t("nation").sparkSession
+    catalog = _catalog(spark)
+    for name in ("nation", "region"):
+        _table_of(catalog, name, t(name).select(*(f.name for f in t(name).schema.fields if not f.name.endswith("comment"))))
+        catalog.measure(name)
+    engine, join = Engine(spark, catalog), "select n.n_name from nation as n, region as r where (n.n_regionkey = r.r_regionkey)"
+    cheaper = engine.cost(join + ' and (r.r_name = "ASIA")') < engine.cost(join)
+    return _rows_of(spark, [(int(catalog.statistics("nation").rows), int(catalog.statistics("region").rows), cheaper)], "nations int, regions int, cheaper_in_order boolean")
+
+
+#: Queries that the checker refuses, and the beginning of what it says.
+_REFUSED = (
+    ("alias", "select m.n_name from nation as n", "IDENTIFIER: Table {{ m }} is not found"),
+    ("attribute", "select n.none from nation as n", "IDENTIFIER: Attribute {{ none }} is not found"),
+    ("class", 'select n.n_name from nation as n where (n.n_nationkey = "a")', "EQUAL: Left"),
+    ("operand", "select n.n_name * n.n_name from nation as n", "TIMES: "),
+    ("zero", "select n.n_nationkey / 0 from nation as n", "DIVIDE: "),
+    ("grouping", "select n.n_name, sum(1) from nation as n group by n.n_regionkey", "SELECT: Identifier {{ n.n_name }} is not in grouping"),
+    ("table", "select n.n_name from nations as n, nation as m", "IDENTIFIER: Attribute"),
+    ("predicate", "select n.n_name from nation as n where (n.n_name - n.n_name > n.n_name)", "MINUS: "),
+    ("valid", "select n.n_name from nation as n", "VALID QUERY"),
+)
+
+
+@_query("select * from (values " + ", ".join(f"('{name}', true)" for name, _, _ in _REFUSED) + ") t(rule, as_expected)")
+def checker_verdicts(t):
+    spark = t("nation").sparkSession
+    engine = Engine(spark, frames={"nation": t("nation")})
+    return _rows_of(spark, [(name, engine.check(text).startswith(says)) for name, text, says in _REFUSED], "rule string, as_expected boolean")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
