@@ -240,19 +240,41 @@ def test_url_filter(spark):
         return i, host, path, rule and rule[1], rule[2] if rule else "block" if listed else "allow", listed
 
     expected = Counter(want(*r) for r in rows)
-    assert counted(urlfilter.judge(df)) == expected
-    assert counted(urlfilter.judge(df, most_bits=1)) == expected
-    assert urlfilter.judge(df.limit(0)).collect() == []
+    listed = urlfilter.listed_hosts(df)
+    assert counted(urlfilter.judge(df, listed)) == expected
+    assert counted(urlfilter.judge(df, listed.union(listed), bucket_hosts=20, block_bytes=40)) == expected
+    assert urlfilter.judge(df.limit(0), listed).collect() == []
+    none = urlfilter.judge(df, listed.limit(0))
+    assert none.filter("listed").count() == 0 and none.count() == len(rows)
+
+
+def test_url_filter_tables(spark):
+    """A list of its own, nulls and unknown hosts in it, repeated rows, very long URLs, extra columns with the operator's own names."""
+    long = "http://b.org/" + "x" * 300_000
+    rows = [(1, "http://a.org/x", "k", 5)] * 3 + [(2, long, None, None), (None, "http://A.org", "k", 1), (4, None, "k", 1), (5, "http://c.org", "k", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, listed int")
+    listed = spark.createDataFrame([("a.org",), ("a.org",), (None,), ("unknown.net",)], "host string")
+    got = [(r.page_id, r.host, len(r.path), r.verdict, r.listed) for r in urlfilter.judge(df, listed).collect()]
+    assert Counter(got) == Counter({(1, "a.org", 2, "block", True): 3, (2, "b.org", 300_001, "allow", False): 1, (None, "a.org", 0, "block", True): 1, (4, "", 0, "allow", False): 1, (5, "c.org", 0, "allow", False): 1})
+
+
+def test_cascades_are_exact(spark, monkeypatch):
+    """With one hash a filter, mistakes are many and cascades deep; in one bucket and in many, of one block and of many."""
+    monkeypatch.setattr(urlfilter, "HASHES", 1)
+    h1, h2 = (np.array([draw.getrandbits(64) for _ in range(3000)], np.uint64) for _ in range(2))
+    flags = np.arange(3000) % 10 == 7
+    levels = urlfilter.build(h1, h2, flags)
+    assert len(levels) > 3
+    block = urlfilter.Block({3: [w.tobytes() for w in levels], 5: []})
+    assert (block.listed(np.full(3000, 3), h1, h2) == flags).all() and not block.listed(np.full(3000, 5), h1, h2).any()
 
 
-def test_cascade_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(urlfilter, "HASHES", 1)
+def test_cascades_over_buckets(spark):
     universe = spark.range(3000).select(F.col("id").cast("string").alias("host"))
     listed = universe.filter("host like '%7'")
-    levels = urlfilter.cascade(universe, listed)
-    assert len(levels) > 3
-    got = universe.filter(urlfilter.member(spark, levels))
-    assert sorted(r.host for r in got.collect()) == sorted(r.host for r in listed.collect())
+    for bucket_hosts, block_bytes in ((10_000, 1 << 20), (100, 1 << 20), (100, 300)):
+        got = urlfilter.with_listed(universe, listed, bucket_hosts, block_bytes)
+        assert sorted(r.host for r in got.filter("listed").collect()) == sorted(r.host for r in listed.collect()) and got.count() == 3000
 
 
 @pytest.mark.parametrize("group_bytes", [20_000, 8_000_000])
