@@ -36,9 +36,17 @@ windows as (
     from (select rid, w, n, unnest(range(0, len(w) - n + 1)) as i from docs, (select distinct n from windows) where len(w) >= n)
 ), hits as (select rid, i, n, item_id from grams join windows using (win, n)),
 covered as (select rid, count(distinct p) as n_hit from (select rid, unnest(range(i, i + n)) as p from hits) group by rid),
-named as (select rid, list_sort(list(distinct item_id)) as ids from hits group by rid)
-select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(len(ids), 0) as n_items, sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(len(ids), 0) >= 2 as contaminated
-from docs left join covered using (rid) left join named using (rid)
+named as (select rid, list_sort(list(distinct item_id)) as ids from hits group by rid),
+terms as (select item_id, term, min(place) as place from (select item_id, unnest(d) as term, unnest(range(0, len(d))) as place
+    from (select item_id, list_filter(w, lambda x, i: list_position(w, x) = i) as d from items)) group by item_id, term),
+places as (select rid, term, pos from (select rid, unnest(w) as term, unnest(range(0, len(w))) as pos from docs) where term in (select term from terms)),
+counted as (select term, count(*) as n from places group by term),
+ranked as (select item_id, term, row_number() over (partition by item_id order by n, place, term) as r from terms join counted using (term)),
+pairs as (select a.item_id, a.term as one, b.term as other from ranked a join ranked b using (item_id) where a.r = 1 and b.r = 2),
+near as (select rid, count(distinct item_id) as n_near from (select distinct one, other, a.rid from (select distinct one, other from pairs) join places a on a.term = one
+    join places b on b.term = other and b.rid = a.rid and abs(a.pos - b.pos) <= 8) join pairs using (one, other) group by rid)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(len(ids), 0) as n_items, sha256(coalesce(array_to_string(ids, ','), '')) as items_sha256, coalesce(len(ids), 0) >= 2 as contaminated,
+coalesce(n_near, 0) as n_near from docs left join covered using (rid) left join named using (rid) left join near using (rid)
 """
 
 SUFFIX_DEDUP = """

@@ -199,6 +199,40 @@ def test_blocks_of_a_large_benchmark(spark, docs, monkeypatch):
     assert counted(decontaminate.scan(docs, items), 6) == want
 
 
+def test_items_by_proximity(spark):
+    """n_near: documents in which an item's two rarest words stand close to each other; against plain loops."""
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(draw.choice(words[: draw.randint(5, 60)]) for _ in range(draw.randint(0, 60)))) for i in range(120)] + [(None, None), (500, "w59 x x w58"), (500, "w59 x x w58")]
+    items = [(j, " ".join(draw.sample(words, draw.randint(0, 12)))) for j in range(40)] + [(40, "w59 w58 gone"), (41, "gone"), (None, "w1 w1"), (40, "w58 w59")]
+    count = Counter(w for _, t in docs for w in (t or "").split())
+    places = {}
+    for j, t in items:
+        for at, w in enumerate(dict.fromkeys(t.split())):
+            own = places.setdefault("" if j is None else str(j), {})
+            own[w] = min(own.get(w, at), at)
+    want = Counter()
+    for d, t in docs:
+        w, close = (t or "").split(), set()
+        for j, own in places.items():
+            known = sorted((count[x], at, x) for x, at in own.items() if count[x])
+            if len(known) > 1:
+                one, other = known[0][2], known[1][2]
+                if any(w[a] == one and w[b] == other and abs(a - b) <= 8 for a in range(len(w)) for b in range(max(0, a - 8), min(len(w), a + 9))):
+                    close.add(j)
+        want[d, len(close), tuple(sorted(close))] += 1
+    found = decontaminate.scan(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert Counter((r.doc_id, r.n_near, tuple(r.near_items)) for r in found.collect()) == want
+    assert sum(n for k, n in want.items() if k[1]) > 5
+
+
+def test_a_pivot_of_very_many_windows(spark):
+    """Postings meet the places of a word in the windows, not the windows."""
+    items = spark.createDataFrame([(i, " ".join(["the"] * 4 + [f"u{i}"] + ["the"] * 3)) for i in range(3000)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(["the"] * 50 + [f"u{j}" for j in range(i, 3000, 60)] * 2 + ["the"] * 4 + [f"u{i}"] + ["the"] * 60)) for i in range(60)], "doc_id long, text string")
+    found = decontaminate.scan(docs, items).select("doc_id", "n_hit", "hit_items").collect()
+    assert all(r.hit_items == [str(r.doc_id)] and r.n_hit == 8 for r in found) and len(found) == 60
+
+
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "a x x b a"), (2, "b x x x x x x x a")], "doc_id long, text string")
     terms = spark.createDataFrame([("a", 0, 0), ("b", 0, 0)], "term string, before int, after int")
