@@ -4,9 +4,11 @@ Links. Distinct fingerprints are dealt out under masks: two fingerprints that ag
 b + 1 masks that split the 64 bits find every pair (one block must agree). In a group the sorted fingerprints are a binary trie whose nodes
 are stretches of the array; pairs of nodes are walked together from the root, differing bits add up, and a pair over budget is dropped with
 all below it. The frontier is cut in halves where it grows long, so memory is bounded. A pair is reported by the first mask it agrees on only.
+A group of over HOT fingerprints is cut into chunks, and each pair of chunks is a task's, so no key is held by one task.
 
 Nulls: a null text has no words and fingerprint 0, linked like any other; a null doc_id takes part and gets its group's least id. Repeated
-rows and ties share a fingerprint, so a group of copies of any size is one node. Empty tables give empty results.
+rows and ties share a fingerprint, so a group of copies of any size is one node. Very long texts are hashed in pieces. Empty tables give empty
+results; columns other than doc_id and text are left aside, or kept by :func:`drop_near_duplicates`, whatever they are called.
 """
 
 from __future__ import annotations
@@ -18,15 +20,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tarnlake.llm import common as C
 from tarnlake.llm.components import components
 
 SEED = 42
 LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-FRONTIER, CHUNK, PIECE = 200_000, 200_000, 200_000
-SKETCH_BITS, CLUSTER_BYTES = 18, 4_000_000
+FRONTIER, CHUNK, PIECE, HOT = 200_000, 200_000, 200_000, 100_000
+SKETCH_BITS, CLUSTER_BYTES, HOT_BYTES = 18, 4_000_000, 16_000_000
 _BITS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
 
@@ -105,39 +107,39 @@ def trie_pairs(prints: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.n
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def links(prints: DataFrame, budget: int) -> DataFrame:
+def links(prints: DataFrame, budget: int, hot: int | None = None) -> DataFrame:
     """(u, v) of distinct fingerprints (column fp) within the budget that agree on a mask."""
-    masks = block_masks(budget)
+    masks, hot = block_masks(budget), hot or HOT
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
 
-    def solve(mask: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((fp, key, mask))
-        mask, key, fp = mask[order], key[order], fp[order]
-        group = np.cumsum(np.concatenate([[0], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])) if len(fp) else mask
-        i, j = trie_pairs(fp, group, budget)
-        x, first = fp[i] ^ fp[j], np.ones(len(i), bool)
-        for k, m in enumerate(masks):
-            first &= (mask[i] <= k) | ((x & np.uint64(m)) != 0)
-        yield pa.RecordBatch.from_arrays([pa.array(fp[i[first]].view(np.int64)), pa.array(fp[j[first]].view(np.int64))], ["u", "v"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by mask and key; whole groups are solved together, about CHUNK rows at a time."""
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) > CHUNK:
-                columns = [np.concatenate([x.column(i).to_numpy() for x in held]) for i in range(3)]
-                change = np.flatnonzero((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]))
-                cut = int(change[-1]) + 1 if len(change) else 0
-                held = [pa.RecordBatch.from_arrays([pa.array(c[cut:]) for c in columns], ["mask", "key", "fp"])]
-                if cut:
-                    yield from solve(columns[0][:cut], columns[1][:cut], columns[2][:cut].view(np.uint64))
-        columns = [np.concatenate([np.zeros(0, np.int64), *(x.column(i).to_numpy() for x in held)]) for i in range(3)]
-        yield from solve(columns[0], columns[1], columns[2].view(np.uint64))
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group; whole groups are solved together, about CHUNK rows at a time."""
+        for rows in _whole(batches, CHUNK, lambda b: b.num_rows):
+            group, mask, fp, chunk, alone = (rows.column(c).to_numpy() for c in ("grp", "mask", "fp", "chunk", "alone"))
+            fp = fp.view(np.uint64)
+            order = np.lexsort((fp, mask, group))
+            group, mask, fp, chunk, alone = group[order], mask[order], fp[order], chunk[order], alone[order]
+            i, j = trie_pairs(fp, np.cumsum(np.append(True, (group[1:] != group[:-1]) | (mask[1:] != mask[:-1]))), budget)
+            x = fp[i] ^ fp[j]
+            #: Pairs inside a chunk are the task's that holds the chunk alone.
+            first = (chunk[i] != chunk[j]) | alone[i].astype(bool)
+            for k, m in enumerate(masks):
+                first &= (mask[i] <= k) | ((x & np.uint64(m)) != 0)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[i[first]].view(np.int64)), pa.array(fp[j[first]].view(np.int64))], ["u", "v"])
 
     dealt = prints.select("fp", F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(signed)))).alias("d"))
-    rows = dealt.select("d.mask", "d.key", "fp").repartition("mask", "key").sortWithinPartitions("mask", "key")
-    return rows.mapInArrow(run, "u long, v long")
+    dealt = dealt.select("d.mask", "d.key", "fp")
+    crowded = C.written(dealt.groupBy("mask", "key").count().filter(F.col("count") > hot).select("mask", "key", F.ceil(F.col("count") / hot).cast("int").alias("chunks")), "crowded")
+    if crowded.limit(1).count():
+        dealt = dealt.join(crowded, ["mask", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    else:
+        dealt = dealt.withColumn("chunks", F.lit(1))
+    own = dealt.withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    key = F.xxhash64("mask", "key", F.least("chunk", "other"), F.greatest("chunk", "other"))
+    rows = own.select(key.alias("grp"), "mask", "fp", "chunk", (F.col("chunk") == F.col("other")).cast("int").alias("alone"))
+    #: A chunk with itself is a group of its own, in which all rows are alone.
+    rows = rows.repartition("grp").sortWithinPartitions("grp")
+    return rows.mapInArrow(solve, "u long, v long")
 
 
 def hex_of(column: str):
@@ -217,11 +219,13 @@ def _postings(frequency: np.ndarray, size: int, similarity: float):
 def _whole(batches: Iterator[pa.RecordBatch], most: int, weight) -> Iterator[pa.Table]:
     """Batches sorted by their first column, joined and cut anew where that column changes, at about so much weight each."""
     held: list[pa.RecordBatch] = []
+    size, limit = 0, most
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
-        if sum(map(weight, held)) > most:
+        size += weight(b)
+        if size > limit:
             rows = pa.Table.from_batches(held).combine_chunks()
             key = rows.column(0).to_numpy()
             change = np.flatnonzero(key[1:] != key[:-1])
@@ -229,8 +233,11 @@ def _whole(batches: Iterator[pa.RecordBatch], most: int, weight) -> Iterator[pa.
             if cut:
                 yield rows.slice(0, cut)
             held = rows.slice(cut).to_batches()
+            size = sum(map(weight, held))
+            #: A group that goes on is joined again when there is twice as much of it only.
+            limit = max(most, 2 * size)
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def _clusters(similarity: float):
@@ -303,15 +310,16 @@ def similar_links(texts: list[bytes], size: int, similarity: float) -> list[tupl
 
 
 def _verified(size: int, similarity: float):
-    """u, v: links of whole clusters; rows are leader, node, text, sorted by leader."""
+    """u, v: links of whole clusters; rows are part, node, first, text, sorted by part; a part's first text is compared with all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _whole(batches, CLUSTER_BYTES, lambda b: b.nbytes):
-            leader, node, text = rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2)
-            cuts = np.append(np.flatnonzero(np.append(True, leader[1:] != leader[:-1])), len(leader))
+            part, node, first, text = rows.column(0).to_numpy(), rows.column(1).to_numpy(), rows.column(2).to_numpy(), rows.column(3)
+            cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
             u, v = [], []
             for begin, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                order = begin + np.argsort(node[begin:end] != leader[begin], kind="stable")
+                order = begin + np.lexsort((node[begin:end], -first[begin:end]))
+                order = order[np.append(True, node[order][1:] != node[order][:-1])]
                 for i, j in similar_links(text.take(pa.array(order)).cast(pa.large_binary()).to_pylist(), size, similarity):
                     u.append(node[order[i]])
                     v.append(node[order[j]])
@@ -320,33 +328,93 @@ def _verified(size: int, similarity: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, large: int | None = None) -> DataFrame:
-    """(doc_id, keep_id) of documents that another one stands for: exact copies, and texts whose Jaccard similarity of distinct word shingles
-    of ``size`` words is at least ``similarity``, joined into groups of which the least doc_id stays. Complete at every size of group.
+def _cluster_links(clusters: DataFrame, needed: DataFrame, size: int, similarity: float, hot_bytes: int) -> DataFrame:
+    """u, v: links that join all similar texts of each cluster (leader, node); ``needed`` has node, text and n_bytes.
+
+    A cluster of at most ``hot_bytes`` is one part, compared by one task. A larger one is cut into chunks of about that size, each a part with
+    the leader's text, which links what is similar to the leader or meets in its chunk. Texts that this leaves apart from the leader are then
+    compared with all chunks, in parts of a chunk of theirs and a chunk of the cluster. So every pair is compared but those that are joined
+    already, and in a cluster of copies of one text the work is in proportion to its size.
+    """
+
+    def checked(parts: DataFrame) -> DataFrame:
+        rows = parts.join(needed.select("node", "text").hint("merge"), "node").select("part", "node", "first", "text")
+        return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_verified(size, similarity), "u long, v long")
+
+    weighed = clusters.join(needed.select("node", "n_bytes").hint("merge"), "node")
+    heavy = C.written(weighed.groupBy("leader").agg(F.sum("n_bytes").alias("bytes")).filter(F.col("bytes") > hot_bytes).select("leader", F.ceil(F.col("bytes") / hot_bytes).cast("int").alias("chunks")), "heavy")
+    led = (F.col("node") == F.col("leader")).cast("int").alias("first")
+    if not heavy.limit(1).count():
+        return checked(clusters.select(F.xxhash64("leader").alias("part"), "node", led))
+    light = checked(clusters.join(heavy, "leader", "left_anti").select(F.xxhash64("leader").alias("part"), "node", led))
+    crowd = clusters.join(heavy, "leader").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    crowd = C.written(crowd, "crowd")
+    members = crowd.filter("node <> leader").select("leader", "chunk", "node")
+    leaders = heavy.select("leader", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("leader").alias("node"))
+    apart = members.unionByName(leaders).select(F.xxhash64("leader", "chunk").alias("part"), "node", led)
+    found = C.written(checked(apart), "chunk-links")
+    stars = components(found)
+    #: Texts that the links so far don't join to their leader.
+    named = crowd.select("leader", "node", "chunks", "chunk").join(stars.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tops = heavy.select("leader").join(stars.select(F.col("u").alias("leader"), F.col("root").alias("top")), "leader", "left").withColumn("top", F.coalesce("top", "leader"))
+    rest = C.written(named.join(tops, "leader").filter("root <> top").select("leader", "node"), "rest")
+    if not rest.limit(1).count():
+        return light.unionByName(found)
+    groups = rest.join(needed.select("node", "n_bytes").hint("merge"), "node").groupBy("leader").agg(F.ceil(F.sum("n_bytes") / hot_bytes).cast("int").alias("rests"))
+    left = rest.join(groups, "leader").join(heavy, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.col("rests")).cast("int").alias("rest"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    right = crowd.join(groups, "leader").select("leader", "node", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("rest"), "chunk")
+    last = left.unionByName(right, allowMissingColumns=False).distinct().select(F.xxhash64("leader", "chunk", "rest").alias("part"), "node", F.lit(0).alias("first"))
+    return light.unionByName(found).unionByName(checked(last))
+
+
+NO_ID = (1 << 63) - 1
+
+
+def standing(docs: DataFrame, size: int = 5, similarity: float = 0.8, hot_bytes: int | None = None) -> DataFrame:
+    """id, node, n, keep_id, keep_node: each id and text (node) of the documents, how many rows have both, and those that stand for its group.
+
+    Groups are exact copies, and texts whose Jaccard similarity of distinct word shingles of ``size`` words is at least ``similarity``, joined
+    over all such pairs; the least id stands, of several texts with that id the least node. A null id counts as NO_ID, after all others.
 
     Only exact copies are one node, named by 64 bits of their MD5. Two texts similar enough share a shingle among the rarest of each (prefix
-    filter; any order of shingles is right, rarest first keeps groups small), so all links lie within clusters of texts around a leader. Each
-    cluster's texts meet in one task, which gives no more links than its texts; pairs are compared there word by word.
-    What grows with the corpus is joined by a shuffle at every size. ``large`` has no effect and stays for callers that give it.
-    Rows that share an id stand or fall together; rows without an id take no part.
+    filter; any order of shingles is right, rarest first keeps groups small), so all links lie within clusters of texts around a leader, where
+    they are compared word by word. What grows with the corpus is joined by a shuffle at every size.
     """
-    texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), C.text_of(docs).alias("text"))
-    texts = texts.withColumn("node", F.conv(F.substring(F.md5("text"), 1, 16), 16, -10).cast("long"))
-    keys = C.written(texts.select("doc_id", "node"), "text-keys")
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), C.text_of(docs).alias("text"))
+    texts = texts.withColumn("node", node_of(F.col("text")))
+    keys = C.written(texts.groupBy("id", "node").agg(F.count(F.lit(1)).alias("n")), "text-keys")
     posted = texts.select("node", "text").mapInArrow(_postings(_frequencies(texts.select("text"), size), size, similarity), "token long, node long, n int, pos int")
     clusters = C.written(posted.repartition("token").sortWithinPartitions("token").mapInArrow(_clusters(similarity), "leader long, node long").distinct(), "clusters")
-    needed = texts.select("node", "text").join(clusters.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    rows = clusters.join(needed.hint("merge"), "node").select("leader", "node", "text").repartition("leader").sortWithinPartitions("leader")
-    stars = components(rows.mapInArrow(_verified(size, similarity), "u long, v long"))
-    rooted = C.written(keys.groupBy("node").agg(F.min("doc_id").alias("rep")).join(stars, F.col("node") == F.col("u"), "left").select("node", "rep", F.coalesce("root", "node").alias("root")), "texts")
-    kept = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("keep_id")), "root").select("node", "keep_id")
-    return keys.join(kept, "node").filter("doc_id <> keep_id").select("doc_id", "keep_id")
+    needed = C.written(texts.select("node", "text").join(clusters.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"]).withColumn("n_bytes", F.octet_length("text").cast("long")), "needed")
+    stars = components(_cluster_links(clusters, needed, size, similarity, hot_bytes or HOT_BYTES))
+    least = keys.groupBy("node").agg(F.min("id").alias("id"))
+    rooted = C.written(least.join(stars, F.col("node") == F.col("u"), "left").select("node", "id", F.coalesce("root", "node").alias("root")), "texts")
+    kept = rooted.groupBy("root").agg(F.min(F.struct("id", "node")).alias("keep"))
+    named = rooted.join(kept, "root").select("node", F.col("keep.id").alias("keep_id"), F.col("keep.node").alias("keep_node"))
+    return keys.join(named, "node").select("id", "node", "n", "keep_id", "keep_node")
+
+
+def node_of(text: Column) -> Column:
+    """64 bits of a text's MD5."""
+    return F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("long")
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, hot_bytes: int | None = None) -> DataFrame:
+    """(doc_id, keep_id) of documents that another one stands for; those without an id are left out."""
+    found = standing(docs, size, similarity, hot_bytes).filter((F.col("id") != NO_ID) & (F.col("id") != F.col("keep_id")))
+    return found.select(F.col("id").alias("doc_id"), "keep_id").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows, with all their columns, of documents that no other one stands for; rows without a doc_id stay."""
-    copies = C.written(near_duplicates(docs, **options).select(F.col("doc_id").alias("_id")), "copies")
-    return docs.join(copies.hint("merge"), docs["doc_id"] == copies["_id"], "left_anti")
+    """One row, with all its columns, of each group of documents: of repeated rows with its id and text, any one."""
+    found = C.written(standing(docs, **options), "standing")
+    marked = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id"), node_of(C.text_of(docs)).alias("node"))
+    gone = found.filter("id <> keep_id or node <> keep_node").select("id", "node")
+    left = marked.join(gone.hint("merge"), ["id", "node"], "left_anti")
+    again = found.filter("n > 1 and id = keep_id and node = keep_node").select("id", "node")
+    if again.limit(1).count():
+        left = left.join(again, ["id", "node"], "left_anti").unionByName(left.join(again, ["id", "node"], "left_semi").dropDuplicates(["id", "node"]))
+    return left.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

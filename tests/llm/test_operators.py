@@ -347,6 +347,7 @@ def test_links_over_masks(spark, monkeypatch):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(p),) for p in prints], "fp long")
     got = Counter(frozenset((r.u, r.v)) for r in simhash.links(df, 3).collect())
+    assert got == Counter(frozenset((r.u, r.v)) for r in simhash.links(df, 3, hot=5).collect())
     assert got == Counter(frozenset((signed(a), signed(b))) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= 3)
 
 
@@ -361,7 +362,7 @@ def test_near_duplicates(spark):
                 copy[at] = "changed"
             texts += [" ".join(copy)] * draw.randint(1, 2)
     rows = list(enumerate(texts + ["", "", "tiny text", "Tiny text"]))
-    got = {r.doc_id: r.keep_id for r in simhash.near_duplicates(spark.createDataFrame([*rows, (None, "x")], "doc_id long, text string"), large=4).collect()}
+    got = {r.doc_id: r.keep_id for r in simhash.near_duplicates(spark.createDataFrame([*rows, (None, "x")], "doc_id long, text string")).collect()}
     want = brute.similar_groups(rows)
     assert set(got) <= set(want) and len(got) >= 0.95 * len(want)
 
@@ -378,12 +379,23 @@ def test_html_long_attributes():
     assert time.monotonic() - start < 20
 
 
-def near_duplicates_of(spark, texts):
+def near_duplicates_of(spark, texts, hot_bytes=None):
     rows = list(enumerate(texts))
-    got = {r.doc_id: r.keep_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    got = {r.doc_id: r.keep_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), hot_bytes=hot_bytes).collect()}
     return got, brute.similar_groups(rows)
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows that share an id, rows without one, repeated rows, and columns with the operator's own names."""
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text), (1, other), (2, text), (2, "unlike any"), (3, other), (3, other), (None, text), (None, "alone"), (None, "alone"), (5, None), (5, None), (6, ""), (7, " ".join(f"u{i}" for i in range(40)))]
+    df = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], "doc_id long, text string, node int, id string").repartition(3)
+    got = simhash.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(1, text), (1, other), (2, "unlike any"), (None, "alone"), (5, None), (7, rows[-1][1])])
+    assert simhash.drop_near_duplicates(df.limit(0)).collect() == []
+
+
 def test_near_duplicates_of_saturated_texts(spark):
     """Long texts of few words hold the same pairs of words, near copies or not."""
     own, texts = random.Random(5), []
@@ -409,6 +421,9 @@ def test_near_duplicates_in_a_large_group(spark):
         texts.append(" ".join(copy))
     got, want = near_duplicates_of(spark, texts)
     assert got == want and len(want) > 300
+    #: The same cluster in many parts.
+    got, _ = near_duplicates_of(spark, texts, hot_bytes=40_000)
+    assert got == want
 
 
 def test_near_duplicates_with_tails_and_blocks(spark):
