@@ -1,20 +1,26 @@
-"""Exact removal of repeated substrings of LENGTH bytes, by content-defined parsing and suffix arrays of the phrase dictionary.
+"""Exact removal of repeated substrings of LENGTH bytes, by content-defined dealing and prefix-free parsing.
 
-Parsing. A rolling hash of GRAM bytes is taken at every byte; the least hash among the grams of a LENGTH-byte window triggers, and the windows
-in a row with one trigger form a phrase (their bytes, placed about the trigger). Which trigger a window gets depends on its own bytes alone,
-so equal windows of any two documents always stand in phrases of the same trigger, at the same place. No phrase is longer than REACH + LENGTH.
+Dealing. No single suffix array can hold a corpus, so equal windows of LENGTH bytes are first brought together: a hash of GRAM bytes is taken
+at every byte; the least hash among the grams of a window triggers, and the windows in a row with one trigger form a passage (their bytes,
+placed about the trigger). Which trigger a window gets depends on its own bytes alone, so equal windows of any two documents always stand in
+passages of the same trigger, at the same place. No passage is longer than REACH + LENGTH. Triggers that one document only has can't hold a
+repeat and drop out. The others' passages are dealt into parts by trigger.
 
-Combination. Triggers that one document only has can't hold a repeat and drop out. The others' phrases are collected into the dictionary,
-spread by trigger; in each part the suffixes of its phrases are sorted, an interval of the suffix array with LENGTH bytes in common is a
-repeated window, and the least doc_id of the interval goes back to the phrases and so, by the parse, to the texts.
+Prefix-free parsing orders the windows of a part. Hash triggers (one in PERIOD of the WORD-byte strings) cut its passages into phrases that
+begin and end with a trigger, so no phrase's suffix longer than a trigger is the beginning of another's. Distinct phrases are the dictionary,
+the passages as sequences of them the parse. The suffixes of the dictionary that begin a window are sorted, and the suffixes of the parse are
+sorted by prefix doubling; the rank of a window's phrase suffix, then that of the parse from the next phrase on, give the part's order. The
+more repetitive its text is, the fewer bytes are compared. Neighbours with LENGTH bytes in common are an interval of equal windows; its least
+doc_id goes back to the passages and so to the texts.
 
 Steps (each a shuffle of packed arrays, not of rows for bytes): texts are dealt into groups of about GROUP_BYTES; groups send distinct triggers
-to parts; parts answer with shared ones; groups send distinct phrases of these with their least doc_id; parts answer with the least doc_id of
-every window; groups remove bytes. Within a group, copies of a phrase are sent once, so a text that a third of all documents hold costs a
-part one phrase a group. All comparisons of windows are of bytes; hashes only deal out work.
+to parts; parts answer with shared ones; groups send distinct passages of these with their least doc_id; parts answer with the least doc_id of
+every window; groups remove bytes. Within a group, copies of a passage are sent once, so a text that a third of all documents hold costs a
+part one passage a group. All comparisons of windows are of bytes; hashes only deal out work.
 
 Nulls: a null text is empty; a null doc_id counts as larger than any other. Documents that share an id, and repeated rows, don't remove each
-other's bytes. Very long texts are fine up to a gigabyte each. Empty tables give empty results.
+other's bytes. Long texts are parsed in pieces; a group's memory is a few times its text, or about 60 bytes for each byte of a text of one
+repeated letter. Empty tables give empty results; columns other than doc_id and text are left aside, whatever they are called.
 """
 
 from __future__ import annotations
@@ -31,7 +37,9 @@ from tarnlake.llm import common as C
 LENGTH, GRAM = 50, 24
 REACH = LENGTH - GRAM
 WIDE = REACH + LENGTH
-GROUP_BYTES, PARSE_BYTES, PART_ROWS, GROUPS_A_PART = 1_500_000, 100_000, 8_000, 4
+GROUP_BYTES, PARSE_BYTES, PART_ROWS, SLICE_ROWS, GROUPS_A_PART = 1_500_000, 100_000, 8_000, 40_000, 4
+#: Prefix-free parsing: bytes of a trigger, and how many strings have one.
+WORD, PERIOD = 8, 16
 LAST = np.iinfo(np.int64).max
 _PLACE = np.uint64((1 << 30) - 1)
 NONE = (*([np.zeros(0, np.int64)] * 4), np.zeros(0, np.uint64))
@@ -114,12 +122,18 @@ class Parsed:
         self.data = np.frombuffer(b"".join(self.texts), np.uint8)
         self.ends = np.cumsum([len(t) for t in self.texts], dtype=np.int64)
         self.key = np.array(self.keys, np.int64)
-        #: Texts are parsed some at a time: the arrays of eight bytes for each byte stay small.
+        #: Texts are parsed some at a time, long ones in pieces that overlap: the arrays of eight bytes for each byte stay small.
         found, begin = [], 0
         while begin < len(self.texts):
             base = int(self.ends[begin - 1]) if begin else 0
             end = max(begin + 1, int(np.searchsorted(self.ends, base + PARSE_BYTES, "right")))
-            found.append(_phrases(self.data[base : self.ends[end - 1]], self.ends[begin:end] - base, base, begin))
+            last = int(self.ends[end - 1])
+            if last - base > PARSE_BYTES:
+                for at in range(base, last - LENGTH + 1, PARSE_BYTES):
+                    stop = min(last, at + PARSE_BYTES + LENGTH - 1)
+                    found.append(_phrases(self.data[at:stop], np.array([stop - at]), at, begin))
+            else:
+                found.append(_phrases(self.data[base:last], self.ends[begin:end] - base, base, begin))
             begin = end
         found.append(NONE)
         self.first, self.last, self.trigger, self.doc, self.hash = (np.concatenate(c) for c in zip(*found))
@@ -140,19 +154,28 @@ class Parsed:
         at = np.searchsorted(shared, names)
         at[at == len(shared)] = 0
         own = np.flatnonzero(shared[at] == names) if len(shared) else np.zeros(0, np.int64)
-        rows = np.zeros((len(own), WIDE + 4), np.uint8)
-        first, last, trigger = self.first[own], self.last[own], self.trigger[own]
-        lo, hi = REACH - (trigger - first), REACH - (trigger - last)
-        padded = np.concatenate([np.zeros(REACH, np.uint8), self.data, np.zeros(LENGTH, np.uint8)])
-        columns, around = np.arange(WIDE, dtype=np.int8), np.lib.stride_tricks.sliding_window_view(padded, WIDE)
-        low, high = lo.astype(np.int8)[:, None], (hi + LENGTH).astype(np.int8)[:, None]
-        for a in range(0, len(own), PART_ROWS):
-            s = slice(a, a + PART_ROWS)
-            rows[s, :WIDE] = around[trigger[s]] * ((columns >= low[s]) & (columns < high[s]))
-        rows[:, WIDE], rows[:, WIDE + 1] = lo, hi
-        hashes = self.hash[own]
-        number, chosen, low = distinct(hashes, rows, self.key[self.doc[own]])
-        return own, number, hashes[chosen], rows[chosen], low
+        columns = np.arange(WIDE, dtype=np.int8)
+        around = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(REACH, np.uint8), self.data, np.zeros(LENGTH, np.uint8)]), WIDE)
+        numbers, held, before = [], [NONE_DISTINCT], 0
+        #: Distinct ones of many slices, then of all of these.
+        for a in range(0, len(own), SLICE_ROWS):
+            o = own[a : a + SLICE_ROWS]
+            first, last, trigger = self.first[o], self.last[o], self.trigger[o]
+            lo, hi = REACH - (trigger - first), REACH - (trigger - last)
+            rows = np.zeros((len(o), WIDE + 4), np.uint8)
+            low, high = lo.astype(np.int8)[:, None], (hi + LENGTH).astype(np.int8)[:, None]
+            rows[:, :WIDE] = around[trigger] * ((columns >= low) & (columns < high))
+            rows[:, WIDE], rows[:, WIDE + 1] = lo, hi
+            number, chosen, least = distinct(self.hash[o], rows, self.key[self.doc[o]])
+            numbers.append(number + before)
+            held.append((self.hash[o][chosen], rows[chosen], least))
+            before += len(chosen)
+        hashes, rows, keys = (np.concatenate(c) for c in zip(*held))
+        number, chosen, low = distinct(hashes, rows, keys)
+        return own, number[np.concatenate([np.zeros(0, np.int64), *numbers])], hashes[chosen], rows[chosen], low
+
+
+NONE_DISTINCT = (np.zeros(0, np.uint64), np.zeros((0, WIDE + 4), np.uint8), np.zeros(0, np.int64))
 
 
 def distinct(hashes: np.ndarray, rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -221,28 +244,90 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(np.append(begin, len(values))).astype(np.int32), values[begin]
 
 
-def least_of_windows(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """For each phrase of a part of the dictionary and each of its windows, in turn: the least key of the equal windows.
+def _ranked(columns: list[np.ndarray]) -> np.ndarray:
+    """The dense rank of each row of keys, the first column being the most significant."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
+
+
+def _masked(word: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
+    """The first n_bytes (0 to 8) bytes of big-endian words."""
+    left = np.clip(n_bytes, 0, 8).astype(np.uint64)
+    return np.where(left == 0, np.uint64(0), word & ~((np.uint64(1) << (np.uint64(64) - np.maximum(left, np.uint64(1)) * np.uint64(8))) - np.uint64(1)))
+
 
-    The suffixes of the phrases that begin a window are sorted by their first LENGTH bytes, eight at a time as big-endian words; runs of equal
-    ones are the suffix array's intervals of that common prefix.
-    """
+class Parse:
+    """The prefix-free parse of passages: phrases in turn (row, start, length), their ranks in the dictionary, and the ranks of the parse's
+    suffixes. ``words`` has the eight bytes from each byte of a row on; a passage is the bytes from low to high of its row."""
+
+    def __init__(self, words: np.ndarray, low: np.ndarray, high: np.ndarray):
+        mixed = words * _ODD[0]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _ODD[1]
+        at = np.arange(words.shape[1])
+        starts = (mixed >> np.uint64(32)) % np.uint64(PERIOD) == 0
+        starts &= (at > low[:, None]) & (at <= high[:, None] - WORD)
+        starts[np.arange(len(words)), low] = True
+        self.row, self.start = np.nonzero(starts)
+        self.last = np.append(self.row[1:] != self.row[:-1], np.ones(min(1, len(self.row)), bool))
+        end = high[self.row]
+        end[:-1][~self.last[:-1]] = self.start[1:][~self.last[:-1]] + WORD
+        self.length = end - self.start
+        flat, step = words.ravel(), words.shape[1]
+        columns = []
+        for k in range(0, WIDE, 8):
+            where = np.minimum(self.start + k, step - 1)
+            columns.append(_masked(flat[self.row * step + where], np.where(self.start + k < step, self.length - k, 0)))
+        #: The last words of a row begin at its last byte but seven, so what stands beyond is told by shifting.
+        for i, k in enumerate(range(0, WIDE, 8)):
+            late = (self.start + k >= step) & (self.length > k)
+            if late.any():
+                shift = ((self.start + k - step + 1)[late] * 8).astype(np.uint64)
+                columns[i][late] = _masked(flat[self.row[late] * step + step - 1] << shift, (self.length - k)[late])
+        self.dictionary = _ranked([*columns, self.length])
+        #: Suffixes of the parse, by doubling; what follows a passage's last phrase is less than any phrase.
+        rank, size = self.dictionary, 1
+        turn = np.arange(len(rank)) - np.concatenate([[0], np.flatnonzero(self.last)[:-1] + 1])[np.cumsum(np.append(0, self.last[:-1]))] if len(rank) else rank
+        while len(rank) and size <= turn.max():
+            next_ = np.zeros(len(rank), np.int64)
+            inside = np.flatnonzero(self.row[size:] == self.row[:-size])
+            next_[inside] = rank[inside + size] + 1
+            rank = np.unique(rank * (len(rank) + 1) + next_, return_inverse=True)[1]
+            size *= 2
+        self.suffixes = rank
+
+
+def least_of_windows(rows: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each passage of a part and each of its windows, in turn: the least key of the equal windows, from the part's order by its parse."""
     lo, counts = rows[:, WIDE].astype(np.int64), rows[:, WIDE + 1].astype(np.int64) - rows[:, WIDE] + 1
     words = np.zeros((len(rows), WIDE - 7), np.uint64)
     for i in range(8):
         words = (words << np.uint64(8)) | rows[:, i : i + WIDE - 7]
-    phrase = np.repeat(np.arange(len(rows)), counts)
-    at = phrase * words.shape[1] + np.arange(len(phrase)) - np.repeat(np.cumsum(counts) - counts - lo, counts)
-    flat = words.ravel()
-    prefix = [flat[at + o] for o in (*range(0, LENGTH - 8, 8), LENGTH - 8)]
-    order = np.lexsort(prefix[::-1])
+    parse = Parse(words, lo, lo + counts - 1 + LENGTH)
+    row = np.repeat(np.arange(len(rows)), counts)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts - lo, counts)
+    at, flat = row * words.shape[1] + place, words.ravel()
+    phrase = np.searchsorted(parse.row * WIDE + parse.start, row * WIDE + place, "right") - 1
+    inner = place - parse.start[phrase]
+    left = parse.length[phrase] - inner
+    #: The dictionary's suffixes that begin windows, each once, sorted as far as a window reaches.
+    _, one, number = np.unique(parse.dictionary[phrase] * WIDE + inner, return_index=True, return_inverse=True)
+    offsets = (*range(0, LENGTH - 8, 8), LENGTH - 8)
+    suffix = _ranked([*(_masked(flat[at[one] + o], left[one] - o) for o in offsets), np.minimum(left[one], LENGTH)])[number]
+    follows = np.where(left < LENGTH, parse.suffixes[np.minimum(phrase + 1, len(parse.row) - 1)], 0)
+    order = np.argsort(suffix * (len(parse.row) + 1) + follows, kind="stable")
     new = np.zeros(len(order), bool)
     new[:1] = True
-    for word in prefix:
-        w = word[order]
+    for o in offsets:
+        w = flat[at + o][order]
         new[1:] |= w[1:] != w[:-1]
     begin = np.flatnonzero(new)
-    low = np.minimum.reduceat(keys[phrase][order], begin) if len(begin) else keys[:0]
+    low = np.minimum.reduceat(keys[row][order], begin) if len(begin) else keys[:0]
     least = np.empty(len(order), np.int64)
     least[order] = low[np.cumsum(new) - 1]
     return least
