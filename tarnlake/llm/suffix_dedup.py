@@ -19,7 +19,7 @@ every window; groups remove bytes. Within a group, copies of a passage are sent
 part one passage a group. All comparisons of windows are of bytes; hashes only deal out work.
 
 Nulls: a null text is empty; a null doc_id counts as larger than any other. Documents that share an id, and repeated rows, don't remove each
-other's bytes. Long texts are parsed in pieces; a group's memory is a few times its text, or about 60 bytes for each byte of a text of one
+other's bytes. Long texts are parsed in pieces; a group's memory is a few times its text, or about 90 bytes for each byte of a text of one
 repeated letter. Empty tables give empty results; columns other than doc_id and text are left aside, whatever they are called.
 """
 
