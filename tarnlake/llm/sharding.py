@@ -3,7 +3,9 @@
 Every shard draws a score for a key, weight / -ln(u) with u from a hash of key and shard, and the highest score takes the record. A further
 shard takes records only into itself, and a changed weight moves only what it must.
 
-Nulls: a null text has no bytes (size 1); a null doc_id is one key like any other. Repeated rows go to one shard and get slots of their own.
+Nulls: a null text has no bytes (size 1); a null doc_id is one key like any other. Repeated rows go to one shard and get slots of their own. Of
+equal scores the shard of the larger number wins. Very long texts are read whole and not kept. An empty table gives no rows; columns other
+than doc_id and text are left aside, whatever they are called.
 """
 
 from __future__ import annotations

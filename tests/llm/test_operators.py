@@ -3,6 +3,8 @@
 import html
 import random
 import re
+import subprocess
+import sys
 import time
 import tracemalloc
 import zlib
@@ -623,3 +625,18 @@ def test_every_operator_has_its_query():
 
 def test_shared_folder_comes_from_the_session(spark):
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_written_tables_go_with_the_application(tmp_path):
+    """In an application of its own, as they are deleted at its end."""
+    code = f"""
+from pyspark.sql import SparkSession
+from tarnlake.llm import common
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", "{tmp_path}").getOrCreate()
+assert common.written(spark.range(5), "five").count() == 5
+import os
+print(sum(n.startswith("five-") for n in os.listdir("{tmp_path}")))
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
+    assert run.stdout.strip() == "1", run.stderr[-2000:]
+    assert not list(tmp_path.glob("five-*"))
