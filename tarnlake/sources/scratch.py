@@ -10,6 +10,16 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under spark.checkpoint.dir, or in a temporary folder where that is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "tarnlake")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh path under spark.checkpoint.dir, deleted when the application ends. Where that is unset, a local session gets a temporary folder;
+    on a cluster no machine's own folder would do, so that is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = os.path.join(tempfile.gettempdir(), "tarnlake")
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return f"{path}/data"
