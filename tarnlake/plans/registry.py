@@ -1,6 +1,6 @@
 """The relational queries by name, each with its DuckDB equivalent.
 
-Queries q00 to q12 are the benchmark's, adapted to the tables at hand; the rest show one operator each. Texts of the dialect run through the
+Queries q00 to q12 are the benchmark's (fixed values: their texts), adapted to the tables at hand; the rest show one operator each. Texts of the dialect run through the
 engine; the others use the operators. Sums of money are taken over decimals, so that they don't depend on the order of rows.
 """
 
@@ -10,15 +10,17 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tarnlake.functions.expr import kind_of
+from tarnlake.functions.expr import Kind, kind_of
 from tarnlake.operators import relops as R
-from tarnlake.plans.parser import CreateTable
+from tarnlake.plans.lexer import ParseError
+from tarnlake.plans.parser import CreateTable, parse
 from tarnlake.plans.session import Engine
 from tarnlake.sources import stats, textio
 from tarnlake.sources.catalog import Catalog
-from tarnlake.sources.scan import stretches
+from tarnlake.sources.scan import iterate, stretches
 from tarnlake.sources.scratch import scratch_path
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -542,6 +544,63 @@ def statistics_and_cost(t):
     return _rows_of(spark, [(int(catalog.statistics("nation").rows), int(catalog.statistics("region").rows), cheaper)], "nations int, regions int, cheaper_in_order boolean")
 
 
+@_query("select n_nationkey, n_name from nation where n_nationkey % 2 = 1")
+def scan_one_at_a_time(t):
+    """Rows taken one after the other, every second one kept."""
+    nation = t("nation").select("n_nationkey", "n_name")
+    return _rows_of(nation.sparkSession, [tuple(r) for r in iterate(nation) if r.n_nationkey % 2], nation.schema)
+
+
+@_query("select * from (values ('keys', 'a,b', 2, 'bplustree', 'k')) t(name, listed, number, kind, sorted_by)")
+def catalog_values(t):
+    """Values and tables that the catalog keeps, read by another one."""
+    spark = t("nation").sparkSession
+    catalog = _catalog(spark)
+    catalog.create(CreateTable("keys", (("k", Kind.INT), ("v", Kind.STRING)), "k"))
+    catalog.put("list", ["a", "b"])
+    catalog.put("number", 2)
+    catalog.save()
+    again = Catalog(spark, catalog.root)
+    info = again.info(again.names()[0])
+    return _rows_of(spark, [(info.name, ",".join(again.get("list")), again.get("number"), info.file_type, info.sort_attribute)], "name string, listed string, number int, kind string, sorted_by string")
+
+
+@_query("select true as in_order, count(*) as n from orders")
+def sort_pages(t):
+    """Every partition in order by itself: a row is in order if it isn't below the one before it in its partition."""
+    prices = R.sort_partitions(t("orders").select("o_totalprice", "o_custkey"), "- ([o_totalprice], [o_custkey])")
+
+    def checked(batches):
+        last = None
+        for b in batches:
+            key = [p.as_py() - k.as_py() for p, k in zip(b.column(0), b.column(1))]
+            yield pa.RecordBatch.from_pydict({"in_order": [last is None and not i or key[i] >= (key[i - 1] if i else last) for i in range(len(key))]})
+            last = key[-1] if key else last
+
+    rows = prices.mapInArrow(checked, "in_order boolean")
+    return rows.agg(F.every("in_order").alias("in_order"), F.count(F.lit(1)).alias("n"))
+
+
+_dialect(
+    "identifiers_and_numbers",
+    "SELECT n-1_x.n_name, n-1_x.n_nationkey * 2.5e1, n-1_x.n_nationkey + .5 from nation AS n-1_x Where n-1_x.n_nationkey > 2.5 and (NOT n-1_x.n_nationkey > 1.9e1)",
+    "select n_name as output_0, n_nationkey * 25::double as output_1, n_nationkey + 0.5::double as output_2 from nation where n_nationkey > 2.5 and n_nationkey <= 19",
+)
+#: Texts that don't parse, and the line of the error.
+_UNPARSED = (("select n.n_name\nfrom nation as n\nwhere n.n_name >", 3), ("select n.n_name ? from nation as n", 1), ("select\n\nfrom nation as n", 3), ("create table t\n(a TEXT)", 2))
+
+
+@_query("select * from (values " + ", ".join(f"({i}, {line})" for i, (_, line) in enumerate(_UNPARSED)) + ") t(text_number, line)")
+def syntax_errors(t):
+    found = []
+    for i, (text, _) in enumerate(_UNPARSED):
+        try:
+            parse(text)
+        except ParseError as e:
+            found.append((i, e.line))
+    return _rows_of(t("nation").sparkSession, found, "text_number int, line int")
+
+
 #: Queries that the checker refuses, and the beginning of what it says.
 _REFUSED = (
     ("alias", "select m.n_name from nation as n", "IDENTIFIER: Table {{ m }} is not found"),
