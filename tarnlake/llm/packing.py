@@ -33,8 +33,9 @@ from tarnlake.llm import common as C
 WIDTH, END_ID, GRID, STRETCH = 1024, 0, 64, 400_000
 SENTENCE_PRICE, GRID_PRICE, SHORT_PRICE = 3, 12, 64
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Texts with words or blanks of 1000 characters go to the library whose merges take n log n time on one long piece.
-LONG = re.compile(r"\S{1000}|\s{1000}")
+#: Texts with words or blanks of so many characters go to the library whose merges take n log n time on one long piece.
+LONG_PIECE = 1000
+LONG = re.compile(rf"\S{{{LONG_PIECE}}}|\s{{{LONG_PIECE}}}")
 
 
 class Vocabulary:
@@ -55,28 +56,43 @@ class Vocabulary:
         for token, i in ranks.items():
             self.ends[i] = token.endswith((b".", b"!", b"?", b"\n"))
 
-    def encode(self, text: str) -> list[int]:
-        if LONG.search(text):
+    def encode(self, text: str) -> np.ndarray:
+        if long_piece(text):
             if self.slow is None:
                 from tokenizers import Tokenizer
 
                 self.slow = Tokenizer.from_file(self.json_path)
-            return self.slow.encode(text, add_special_tokens=False).ids
-        if any(t in text for t in self.special):
-            return self.fast.encode(text, allowed_special="all")
-        return self.fast.encode_ordinary(text)
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.fast.encode_to_numpy(text, allowed_special="all")
 
 
-def powers_before(places: np.ndarray, width: int) -> list[list[tuple[int, int]]]:
-    """For each place: the indexes of the places that lie a power of two below width before it, and these powers."""
-    found: list[list[tuple[int, int]]] = [[] for _ in places]
+def long_piece(text: str) -> bool:
+    """Whether a text has a word or blanks of LONG_PIECE characters; most are told by their ASCII blanks alone.
+
+    A run of blanks that mixes in others may be missed, which costs time and changes no id."""
+    if len(text) < LONG_PIECE:
+        return False
+    blanks = np.flatnonzero(np.frombuffer(text.encode(), np.uint8) <= 32)
+    edges = np.concatenate([[-1], blanks, [len(text) * 4]])
+    if np.diff(edges[:-1]).max(initial=0) <= LONG_PIECE and len(text.encode()) - edges[-2] <= LONG_PIECE:
+        return len(blanks) >= LONG_PIECE and bool((blanks[LONG_PIECE - 1 :] - blanks[: 1 - LONG_PIECE] == LONG_PIECE - 1).any()) and bool(LONG.search(text))
+    return bool(LONG.search(text))
+
+
+def powers_before(places: np.ndarray, width: int) -> tuple[list[int], list[int], list[int]]:
+    """Pairs of places that lie a power of two below width apart, by the later one: indexes of the later and the earlier place, and the power."""
+    later, earlier, powers = [], [], []
     power = 1
     while power < width:
         at = np.searchsorted(places, places - power)
-        for i in np.flatnonzero((places[at] == places - power) & (places >= power)).tolist():
-            found[i].append((int(at[i]), power))
+        own = np.flatnonzero((places[at] == places - power) & (places >= power))
+        later.append(own)
+        earlier.append(at[own])
+        powers.append(np.full(len(own), power))
         power *= 2
-    return found
+    columns = [np.concatenate(c) for c in (later, earlier, powers)]
+    order = np.argsort(columns[0], kind="stable")
+    return tuple(c[order].tolist() for c in columns)
 
 
 def plan(places: list[int], prices: list[int], width: int) -> list[int]:
@@ -84,7 +100,9 @@ def plan(places: list[int], prices: list[int], width: int) -> list[int]:
     n = len(places)
     keys, back = [0] * n, [0] * n
     queue = deque([0])
-    even = powers_before(np.array(places), width)
+    later, earlier, powers = powers_before(np.array(places), width)
+    later.append(n)
+    at_pair = 0
     for i in range(1, n):
         at = places[i]
         while places[queue[0]] < at - width:
@@ -92,9 +110,11 @@ def plan(places: list[int], prices: list[int], width: int) -> list[int]:
         j = queue[0]
         #: keys are best + place, so a plan's cost from j on is keys[j] + width with padding and keys[j] + (i - j) without.
         key = keys[j] + width
-        for k, power in even[i]:
-            if keys[k] + power + SHORT_PRICE < key:
-                j, key = k, keys[k] + power + SHORT_PRICE
+        while later[at_pair] == i:
+            k = earlier[at_pair]
+            if (short := keys[k] + powers[at_pair] + SHORT_PRICE) < key:
+                j, key = k, short
+            at_pair += 1
         back[i] = j
         key = keys[i] = key + prices[i]
         while queue and keys[queue[-1]] > key:
@@ -176,7 +196,7 @@ def pack(docs: DataFrame, width: int = WIDTH, ranks_path: str | None = None, jso
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                rows += packer.add(doc_id, np.array([*words.encode(text or ""), END_ID], np.uint32))
+                rows += packer.add(doc_id, np.append(words.encode(text or ""), np.uint32(END_ID)))
             yield _batch(rows)
         yield _batch(packer.pack(True))
 
