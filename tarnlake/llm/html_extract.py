@@ -6,8 +6,8 @@ only where the page has another one that it isn't said of (comments and related
 
 Nulls: null HTML is empty and gives the empty text; a null page_id or url stays. Malformed markup never fails: stray ``<`` is text, end tags
 without a start are passed over, unclosed elements end with their parent, unclosed comments and scripts end with the page. Repeated rows
-each give a row; a tie in a leaf of the tree goes to the article. Very long
-pages are read whole, work is in proportion to a page's length. Empty tables give empty results; columns other than page_id, url and html are left aside, whatever they are called.
+each give a row; a tie in a leaf of the tree goes to the article. Very long pages are read whole, work is in proportion to a page's length.
+Empty tables give empty results; columns other than page_id, url and html are left aside, whatever they are called.
 """
 
 from __future__ import annotations
@@ -132,6 +132,8 @@ def blocks(page: str) -> list[list]:
     #: Open elements that aren't inline: name, boilerplate, main, skipped, and what stood in boiler and outer before; the sums are of the whole stack.
     stack: list[tuple[str, bool, bool, bool, int, int]] = []
     boiler = outer = main = skipped = 0
+    #: How many elements of a name are open, so that stray end tags cost nothing.
+    opened: dict[str, int] = {}
     #: The length of the stack when the open link began, if one is open.
     link = -1
     lower = None
@@ -148,7 +150,8 @@ def blocks(page: str) -> list[list]:
 
     def pop() -> None:
         nonlocal boiler, outer, main, skipped, link
-        _, _, m, s, boiler, outer = stack.pop()
+        own, _, m, s, boiler, outer = stack.pop()
+        opened[own] -= 1
         main, skipped = main - m, skipped - s
         if link > len(stack):
             link = -1
@@ -207,8 +210,9 @@ def blocks(page: str) -> list[list]:
         if name in VOID or name == "p":
             continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            while depth is not None and len(stack) > depth:
+            if opened.get(name):
+                while stack[-1][0] != name:
+                    pop()
                 pop()
             continue
         if m[3].endswith("/") and name not in MAIN:
@@ -218,6 +222,7 @@ def blocks(page: str) -> list[list]:
         frame = name in ("html", "body")
         b = not frame and (name in BOILER or (name == "header" and not main) or _hinted(m[3], main > 0))
         stack.append((name, b, name in MAIN, name in SKIPPED, boiler, outer))
+        opened[name] = opened.get(name, 0) + 1
         if name in MAIN:
             #: What was said of ancestors is told apart from what is said of this element and inside it.
             outer, boiler = outer + boiler, int(b)

@@ -415,6 +415,7 @@ def test_html_long_attributes():
     for piece in ("<a <b ", "<a '><b ", "<a \"'><b ''>", "<a" + "b" * 50 + "\""):
         html_extract.blocks(piece * 40_000 + "\"")
         html_extract.blocks("<" + piece.strip("<") * 40_000 + "'")
+    html_extract.blocks("<div>x" * 100_000 + "</section>y" * 100_000 + "</div>" * 100_000)
     assert time.monotonic() - start < 20
 
 
