@@ -195,12 +195,18 @@ def _frequencies(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def _postings(frequency: np.ndarray, size: int, similarity: float):
-    """token, node, n, pos: a text's rarest shingles, as many that two texts similar enough share one; n counts its distinct shingles."""
+    """token, node, n, pos: a text's rarest shingles, as many that two texts similar enough share one; n counts its distinct shingles. Copies in
+    one partition are sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
+                fresh = [not (x in seen or seen.add(x)) for x in part.column(0).to_pylist()]
+                part = part.filter(pa.array(fresh))
+                if not part.num_rows:
+                    continue
                 tokens, counts, firsts = [np.zeros(0, np.uint64)], [], []
                 for t in part.column(1).cast(pa.large_binary()).to_pylist():
                     h = np.unique(shingle_hashes(t, size))
@@ -385,9 +391,12 @@ def standing(docs: DataFrame, size: int = 5, similarity: float = 0.8, hot_bytes:
     keys = C.written(texts.groupBy("id", "node").agg(F.count(F.lit(1)).alias("n")), "text-keys")
     posted = texts.select("node", "text").mapInArrow(_postings(_frequencies(texts.select("text"), size), size, similarity), "token long, node long, n int, pos int")
     clusters = C.written(posted.repartition("token").sortWithinPartitions("token").mapInArrow(_clusters(similarity), "leader long, node long").distinct(), "clusters")
-    needed = C.written(texts.select("node", "text").join(clusters.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"]).withColumn("n_bytes", F.octet_length("text").cast("long")), "needed")
+    #: One row of each node's copies by its id, so that copies aren't brought together.
+    least = C.written(keys.groupBy("node").agg(F.min("id").alias("id")), "least")
+    wanted = least.join(clusters.select("node").distinct(), "node", "left_semi")
+    needed = texts.join(wanted.hint("merge"), ["id", "node"], "left_semi").dropDuplicates(["node"])
+    needed = C.written(needed.select("node", "text", F.octet_length("text").cast("long").alias("n_bytes")), "needed")
     stars = components(_cluster_links(clusters, needed, size, similarity, hot_bytes or HOT_BYTES))
-    least = keys.groupBy("node").agg(F.min("id").alias("id"))
     rooted = C.written(least.join(stars, F.col("node") == F.col("u"), "left").select("node", "id", F.coalesce("root", "node").alias("root")), "texts")
     kept = rooted.groupBy("root").agg(F.min(F.struct("id", "node")).alias("keep"))
     named = rooted.join(kept, "root").select("node", F.col("keep.id").alias("keep_id"), F.col("keep.node").alias("keep_node"))
