@@ -125,7 +125,7 @@ def near(index: DataFrame, pairs: DataFrame, gap: int) -> DataFrame:
 
 def proximity(index: DataFrame, one: str, other: str, gap: int) -> DataFrame:
     """doc_id, text_hash, pos and other_pos where two indexed terms stand at most ``gap`` words apart."""
-    pair = index.sparkSession.createDataFrame([(one, other)], "one string, other string")
+    pair = index.sparkSession.range(1).select(F.lit(one).alias("one"), F.lit(other).alias("other"))
     return near(index, pair, gap).select("doc_id", "text_hash", "pos", "other_pos")
 
 
@@ -144,7 +144,7 @@ class Index:
             terms = block.select("term", first(F.col("place")).alias("before"), first(F.col("n_terms") - F.col("place") - 1).alias("after"))
             if not i:
                 #: The number of words of every document.
-                terms = terms.unionByName(lone(docs.sparkSession.createDataFrame([("",)], "term string"), "term"))
+                terms = terms.unionByName(lone(docs.sparkSession.range(1).select(F.lit("").alias("term")), "term"))
             self.blocks.append((block, C.written(postings(docs, terms.groupBy("term").agg(F.max("before").alias("before"), F.max("after").alias("after"))), "postings")))
         self.pairs: list[tuple[DataFrame, DataFrame]] = []
         if with_pairs:
