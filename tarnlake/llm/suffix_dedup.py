@@ -41,8 +41,9 @@ WIDE = REACH + LENGTH
 GROUP_BYTES, PARSE_BYTES, PART_ROWS, SLICE_ROWS, GROUPS_A_PART = 1_500_000, 100_000, 8_000, 40_000, 4
 #: Prefix-free parsing: bytes of a trigger, and how many strings have one.
 WORD, PERIOD = 8, 16
-#: How many groups there are before they grow, and what they grow to: a group takes about nine times its text of memory.
-GROUPS, MOST_GROUP_BYTES = 20_000, 64_000_000
+#: How many groups there are before they grow, and what they grow to: a group takes about nine times its text of memory. How many tasks there
+#: are at most where the session doesn't ask for more.
+GROUPS, MOST_GROUP_BYTES, MOST_TASKS = 20_000, 64_000_000, 20_000
 LAST = np.iinfo(np.int64).max
 _PLACE = np.uint64((1 << 30) - 1)
 NONE = (*([np.zeros(0, np.int64)] * 4), np.zeros(0, np.uint64))
@@ -446,11 +447,14 @@ def dedup(docs: DataFrame, group_bytes: int | None = None, with_kept: bool = Tru
             at = end
         return _table(result, found)
 
-    groups = dealt.groupBy("grp")
-    known = groups.applyInArrow(send_triggers, sends).groupBy("part").applyInArrow(share_triggers, shares)
-    sent = groups.cogroup(known.groupBy("grp")).applyInArrow(send_phrases, phrases)
-    said = sent.groupBy("part").applyInArrow(answer, answers)
-    return groups.cogroup(said.groupBy("grp")).applyInArrow(remove, result)
+    #: With few groups to a task none has many by chance; a task's size then doesn't grow with the corpus.
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = lambda df, key, keys: df.repartition(min(keys, max(usual, MOST_TASKS)), key).groupBy(key)
+    groups = spread(dealt, "grp", n)
+    known = spread(groups.applyInArrow(send_triggers, sends), "part", parts).applyInArrow(share_triggers, shares)
+    sent = groups.cogroup(spread(known, "grp", n)).applyInArrow(send_phrases, phrases)
+    said = spread(sent, "part", parts).applyInArrow(answer, answers)
+    return groups.cogroup(spread(said, "grp", n)).applyInArrow(remove, result)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
