@@ -1,9 +1,10 @@
 """DuckDB SQL for the corpus queries that SQL can express over whole tables.
 
 Beyond SQL, or too slow in it, and so held against brute force in tests/llm: op1 and op10 (possessive patterns and window entropy), op2
-(tokenizer), op3 and op9 (XXH64), op4 (markup, trained tree), op5 (longest repeats).
+(tokenizer), op3 and op9 (XXH64, CRC-32), op4 (markup, trained tree).
 """
 
+from tarnlake.llm import quality
 from tarnlake.llm.urlfilter import LISTED_LABELS, RULES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -67,4 +68,34 @@ kept as (
 select doc_id, len(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(rest, h))) as kept_sha256 from docs left join kept using (rid)
 """
 
-ORACLES = {"op6_url_filter": URL_FILTER, "op7_decontaminate": DECONTAMINATE, "op8_suffix_dedup": SUFFIX_DEDUP}
+
+
+def _repeated(size: int) -> str:
+    """Places of words at which a window begins that stands twice or more in the text, and the words that these cover."""
+    return f"""
+r{size} as (
+    select rid, i, g from (select rid, i, array_to_string(w[i + 1:i + {size}], ' ') as g from (select rid, w, unnest(range(0, len(w) - {size - 1})) as i from docs where len(w) >= {size}))
+    qualify count(*) over (partition by rid, g) > 1
+), c{size} as (select rid, count(distinct p) as n from (select rid, unnest(range(i, i + {size})) as p from r{size}) group by rid)"""
+
+
+#: The longest repeat: pairs of equal windows that follow each other at the same distance.
+QUALITY = f"""
+with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+lines as (select rid, count(*) - count(distinct x) as n from (select rid, unnest(string_split(t, chr(10))) as x from docs) where regexp_matches(x, '[^\\x20\\x09-\\x0D]') group by rid),{_repeated(quality.WINDOW)},{_repeated(quality.SHORT)},
+pairs as (select a.rid, a.i, b.i - a.i as d from r{quality.WINDOW} a join r{quality.WINDOW} b on a.rid = b.rid and a.g = b.g and a.i < b.i),
+runs as (select rid, count(*) as n from (select rid, d, i - row_number() over (partition by rid, d order by i) as start from pairs) group by rid, d, start),
+longest as (select rid, max(n) + {quality.WINDOW - 1} as n from runs group by rid),
+counted as (
+    select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+    cast(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(lines.n, 0) as n_dup_lines, coalesce(c{quality.WINDOW}.n, 0) as n_repeat_words,
+    coalesce(c{quality.SHORT}.n, 0) as n_maximal_words, coalesce(longest.n, 0) as longest_repeat
+    from docs left join lines using (rid) left join c{quality.WINDOW} using (rid) left join c{quality.SHORT} using (rid) left join longest using (rid)
+)
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words
+    or n_maximal_words > n_words * {quality.MOST_COVERED}::double or (longest_repeat >= {quality.LONGEST_WORDS} and longest_repeat > n_words * {quality.LONGEST_FRACTION}::double)
+    or n_symbols > n_words * {quality.MOST_SYMBOLS}::double) as kept
+from counted
+"""
+
+ORACLES = {"op5_quality": QUALITY, "op6_url_filter": URL_FILTER, "op7_decontaminate": DECONTAMINATE, "op8_suffix_dedup": SUFFIX_DEDUP}
