@@ -447,14 +447,15 @@ def dedup(docs: DataFrame, group_bytes: int | None = None, with_kept: bool = Tru
             at = end
         return _table(result, found)
 
-    #: With few groups to a task none has many by chance; a task's size then doesn't grow with the corpus.
+    #: A part, or the groups of a part's size, to a task: none has many by chance, so the largest task doesn't grow with the corpus.
     usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = lambda df, key, keys: df.repartition(min(keys, max(usual, MOST_TASKS)), key).groupBy(key)
-    groups = spread(dealt, "grp", n)
-    known = spread(groups.applyInArrow(send_triggers, sends), "part", parts).applyInArrow(share_triggers, shares)
-    sent = groups.cogroup(spread(known, "grp", n)).applyInArrow(send_phrases, phrases)
-    said = spread(sent, "part", parts).applyInArrow(answer, answers)
-    return groups.cogroup(spread(said, "grp", n)).applyInArrow(remove, result)
+    tasks = max(usual, min(parts, MOST_TASKS))
+    spread = lambda df, key: df.repartition(tasks, key).groupBy(key)
+    groups = spread(dealt, "grp")
+    known = spread(groups.applyInArrow(send_triggers, sends), "part").applyInArrow(share_triggers, shares)
+    sent = groups.cogroup(spread(known, "grp")).applyInArrow(send_phrases, phrases)
+    said = spread(sent, "part").applyInArrow(answer, answers)
+    return groups.cogroup(spread(said, "grp")).applyInArrow(remove, result)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
