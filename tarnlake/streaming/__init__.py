@@ -1,6 +1,6 @@
 """Continuous loading: files of delimited text as a stream into a table.
 
-The reference is batch-only, so this is the text loader over Structured Streaming and nothing more.
+Tables are otherwise loaded by batches, so this is the text loader over Structured Streaming and nothing more.
 """
 
 from __future__ import annotations
