@@ -28,7 +28,7 @@ from tarnlake.llm.components import components
 SEED = 42
 LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 FRONTIER, CHUNK, PIECE, HOT = 200_000, 200_000, 200_000, 100_000
-SKETCH_BITS, CLUSTER_BYTES, HOT_BYTES = 18, 4_000_000, 16_000_000
+SKETCH_BITS, CLUSTER_BYTES, HOT_BYTES, HOT_TEXTS = 18, 4_000_000, 16_000_000, 250
 _BITS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
 
@@ -337,8 +337,8 @@ def _verified(size: int, similarity: float):
 def _cluster_links(clusters: DataFrame, needed: DataFrame, size: int, similarity: float, hot_bytes: int) -> DataFrame:
     """u, v: links that join all similar texts of each cluster (leader, node); ``needed`` has node, text and n_bytes.
 
-    A cluster of at most ``hot_bytes`` is one part, compared by one task. A larger one is cut into chunks of about that size, each a part with
-    the leader's text, which links what is similar to the leader or meets in its chunk. Texts that this leaves apart from the leader are then
+    A cluster of at most ``hot_bytes`` and HOT_TEXTS is one part, compared by one task. A larger one is cut into chunks of about that size, each a
+    part with the leader's text, which links what is similar to the leader or meets in its chunk. Texts that this leaves apart from the leader are then
     compared with all chunks, in parts of a chunk of theirs and a chunk of the cluster. So every pair is compared but those that are joined
     already, and in a cluster of copies of one text the work is in proportion to its size.
     """
@@ -348,7 +348,8 @@ def _cluster_links(clusters: DataFrame, needed: DataFrame, size: int, similarity
         return rows.repartition("part").sortWithinPartitions("part").mapInArrow(_verified(size, similarity), "u long, v long")
 
     weighed = clusters.join(needed.select("node", "n_bytes").hint("merge"), "node")
-    heavy = C.written(weighed.groupBy("leader").agg(F.sum("n_bytes").alias("bytes")).filter(F.col("bytes") > hot_bytes).select("leader", F.ceil(F.col("bytes") / hot_bytes).cast("int").alias("chunks")), "heavy")
+    chunks = F.greatest(F.ceil(F.sum("n_bytes") / hot_bytes), F.ceil(F.count(F.lit(1)) / HOT_TEXTS)).cast("int")
+    heavy = C.written(weighed.groupBy("leader").agg(chunks.alias("chunks")).filter("chunks > 1"), "heavy")
     led = (F.col("node") == F.col("leader")).cast("int").alias("first")
     if not heavy.limit(1).count():
         return checked(clusters.select(F.xxhash64("leader").alias("part"), "node", led))
@@ -366,7 +367,7 @@ def _cluster_links(clusters: DataFrame, needed: DataFrame, size: int, similarity
     rest = C.written(named.join(tops, "leader").filter("root <> top").select("leader", "node"), "rest")
     if not rest.limit(1).count():
         return light.unionByName(found)
-    groups = rest.join(needed.select("node", "n_bytes").hint("merge"), "node").groupBy("leader").agg(F.ceil(F.sum("n_bytes") / hot_bytes).cast("int").alias("rests"))
+    groups = rest.join(needed.select("node", "n_bytes").hint("merge"), "node").groupBy("leader").agg(chunks.alias("rests"))
     left = rest.join(groups, "leader").join(heavy, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.col("rests")).cast("int").alias("rest"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     right = crowd.join(groups, "leader").select("leader", "node", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("rest"), "chunk")
     last = left.unionByName(right, allowMissingColumns=False).distinct().select(F.xxhash64("leader", "chunk", "rest").alias("part"), "node", F.lit(0).alias("first"))
