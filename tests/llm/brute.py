@@ -53,9 +53,14 @@ def quality(text):
     covered = {j for i in range(len(w) - 7) if eight[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
     longest = 0
     if covered:
-        longest = 8
-        while max(windows(longest + 1).values(), default=0) > 1:
-            longest += 1
+        #: Whether a repeat of a length exists is monotone; windows are compared as the bytes of their words' numbers.
+        number = {x: i for i, x in enumerate(dict.fromkeys(w))}
+        flat = np.array([number[x] for x in w], np.uint32).tobytes()
+        stands_twice = lambda k: len({flat[4 * i : 4 * (i + k)] for i in range(len(w) - k + 1)}) < len(w) - k + 1
+        longest, beyond = 8, len(w)
+        while beyond - longest > 1:
+            middle = (longest + beyond) // 2
+            longest, beyond = (middle, beyond) if stands_twice(middle) else (longest, middle)
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), longest
 
 
