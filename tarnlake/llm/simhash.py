@@ -28,7 +28,7 @@ from tarnlake.llm.components import components
 SEED = 42
 LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 FRONTIER, CHUNK, PIECE, HOT = 200_000, 200_000, 200_000, 100_000
-SKETCH_BITS, CLUSTER_BYTES, HOT_BYTES, HOT_TEXTS = 18, 4_000_000, 16_000_000, 250
+SKETCH_BITS, CLUSTER_BYTES, HOT_BYTES, HOT_TEXTS = 18, 4_000_000, 16_000_000, 5_000
 _BITS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
 
