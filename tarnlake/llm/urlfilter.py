@@ -145,11 +145,14 @@ def cascades(hosts: DataFrame, listed: DataFrame, bucket_hosts: int = BUCKET_HOS
 
 def member(spark: SparkSession, block: Block, buckets: int) -> Column:
     """Whether column ``host``, of the universe and of a bucket of this block, is listed."""
-    shared = spark.sparkContext.broadcast(block)
+    #: Plain arrays: a broadcast value is read before the worker knows this package's path.
+    shared = spark.sparkContext.broadcast(vars(block))
 
     @F.pandas_udf("boolean")
     def test(bucket: pd.Series, h1: pd.Series, h2: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.listed(bucket.to_numpy(np.int64), h1.to_numpy(np.int64).view(np.uint64), h2.to_numpy(np.int64).view(np.uint64)))
+        own = Block({})
+        vars(own).update(shared.value)
+        return pd.Series(own.listed(bucket.to_numpy(np.int64), h1.to_numpy(np.int64).view(np.uint64), h2.to_numpy(np.int64).view(np.uint64)))
 
     h1, h2, h3 = _keys(F.col("host"))
     return test(F.pmod(h3, F.lit(buckets)), h1, h2)
