@@ -23,6 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of the least id, of each group of exact copies and of texts whose five-word shingles are similar by 0.8 or more.
 
+    Texts meet by op9's operator, the trie self-join of SimHash fingerprints, and are then compared word by word; a prefix filter finds similar
+    texts beyond its budget of bits.
     Null and empty texts are copies of each other; rows without an id come after all others; of repeated rows one stays.
     """
     return simhash.drop_near_duplicates(docs, size=5, similarity=0.8)

@@ -1,7 +1,7 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked by a binary-trie self-join under a Hamming budget.
 
 Links. Distinct fingerprints are dealt out under masks: two fingerprints that agree on all bits of a mask meet in one group. With budget b,
-b + 1 masks that split the 64 bits find every pair (one block must agree). In a group the sorted fingerprints are a binary trie whose nodes
+b + 1 masks that split the 64 bits find every pair (one block must agree); so do the masks of any k of b + k blocks. In a group the sorted fingerprints are a binary trie whose nodes
 are stretches of the array; pairs of nodes are walked together from the root, differing bits add up, and a pair over budget is dropped with
 all below it. The frontier is cut in halves where it grows long, so memory is bounded. A pair is reported by the first mask it agrees on only.
 A group of over HOT fingerprints is cut into chunks, and each pair of chunks is a task's, so no key is held by one task.
@@ -14,7 +14,8 @@ results; columns other than doc_id and text are left aside, or kept by :func:`dr
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from tarnlake.llm.components import components
 SEED = 42
 LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 FRONTIER, CHUNK, PIECE, HOT = 200_000, 200_000, 200_000, 100_000
+#: For near duplicates: words in a shingle of op9's fingerprints, differing bits, and blocks that a mask is of (28 masks of 16 bits).
+PRINT_SIZE, PRINT_BUDGET, AGREE = 3, 6, 2
 SKETCH_BITS, CLUSTER_BYTES, HOT_BYTES, HOT_TEXTS = 18, 4_000_000, 16_000_000, 5_000
 _BITS = np.uint64(1) << np.arange(63, -1, -1, dtype=np.uint64)
 
@@ -63,20 +66,19 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
-def block_masks(budget: int) -> list[int]:
-    """Masks of budget + 1 blocks that split the 64 bits."""
-    cuts = [64 * i // (budget + 1) for i in range(budget + 2)]
-    return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
+def block_masks(budget: int, agree: int = 1) -> list[int]:
+    """Masks of any ``agree`` of budget + agree blocks that split the 64 bits."""
+    cuts = [64 * i // (budget + agree) for i in range(budget + agree + 1)]
+    return [sum(blocks) for blocks in combinations([((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])], agree)]
 
 
-def trie_pairs(prints: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i < j) of distinct fingerprints of one group that differ in at most ``budget`` bits; both arrays sorted by group, then print."""
+def _walk(prints: np.ndarray, group: np.ndarray, budget: int, known: Callable | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of :func:`trie_pairs`, a frontier at a time; pairs of nodes are left out where ``known`` holds for their stretches."""
     n = len(prints)
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if n else np.zeros(0, np.int64)
     ends = np.append(starts[1:], n)
     many = ends - starts > 1
     ones: dict[int, np.ndarray] = {}
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     stack = [(0, starts[many], ends[many], starts[many], ends[many], np.zeros(int(many.sum()), np.int64))]
     while stack:
         depth, al, ah, bl, bh, dist = stack.pop()
@@ -84,8 +86,10 @@ def trie_pairs(prints: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.n
         if single.any():
             i, j = al[single], bl[single]
             near = np.bitwise_count(prints[i] ^ prints[j]) <= budget
-            found.append((i[near], j[near]))
+            yield i[near], j[near]
         go = ~single & ~((al == bl) & (ah - al == 1))
+        if known:
+            go &= ~known(al, ah, bl, bh)
         al, ah, bl, bh, dist = al[go], ah[go], bl[go], bh[go], dist[go]
         if not len(al) or depth == 64:
             continue
@@ -102,14 +106,44 @@ def trie_pairs(prints: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.n
         al, ah, bl, bh, dist = (np.concatenate(x) for x in zip(*parts))
         keep = (ah > al) & (bh > bl) & (dist <= budget)
         stack.append((depth + 1, al[keep], ah[keep], bl[keep], bh[keep], dist[keep]))
+
+
+def trie_pairs(prints: np.ndarray, group: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i < j) of distinct fingerprints of one group that differ in at most ``budget`` bits; both arrays sorted by group, then print."""
+    found = list(_walk(prints, group, budget))
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def links(prints: DataFrame, budget: int, hot: int | None = None) -> DataFrame:
-    """(u, v) of distinct fingerprints (column fp) within the budget that agree on a mask."""
-    masks, hot = block_masks(budget), hot or HOT
+def trie_joins(prints: np.ndarray, group: np.ndarray, budget: int) -> np.ndarray:
+    """For each place the least one that is reached over the pairs of :func:`trie_pairs`; what is joined already isn't walked again."""
+    label = np.arange(len(prints))
+    run = label
+
+    def join(i: np.ndarray, j: np.ndarray) -> None:
+        nonlocal run
+        while (apart := label[i] != label[j]).any():
+            i, j = i[apart], j[apart]
+            np.minimum.at(label, np.maximum(label[i], label[j]), np.minimum(label[i], label[j]))
+            while (label[label] != label).any():
+                label[:] = label[label]
+        run = np.cumsum(np.append(0, label[1:] != label[:-1]))
+
+    def known(al: np.ndarray, ah: np.ndarray, bl: np.ndarray, bh: np.ndarray) -> np.ndarray:
+        return (label[al] == label[bl]) & (run[al] == run[ah - 1]) & (run[bl] == run[bh - 1])
+
+    beside = np.flatnonzero((group[1:] == group[:-1]) & (np.bitwise_count(prints[1:] ^ prints[:-1]) <= budget))
+    join(beside, beside + 1)
+    for i, j in _walk(prints, group, budget, known):
+        join(i, j)
+    return label
+
+
+def links(prints: DataFrame, budget: int, hot: int | None = None, agree: int = 1, joined: bool = False) -> DataFrame:
+    """(u, v) of distinct fingerprints (column fp) within the budget that agree on a mask; if ``joined``, as many as join what these pairs join,
+    no more than there are rows in the groups, so a crowd of close fingerprints doesn't give all its pairs."""
+    masks, hot = block_masks(budget, agree), hot or HOT
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +153,13 @@ def links(prints: DataFrame, budget: int, hot: int | None = None) -> DataFrame:
             fp = fp.view(np.uint64)
             order = np.lexsort((fp, mask, group))
             group, mask, fp, chunk, alone = group[order], mask[order], fp[order], chunk[order], alone[order]
-            i, j = trie_pairs(fp, np.cumsum(np.append(True, (group[1:] != group[:-1]) | (mask[1:] != mask[:-1]))), budget)
+            places = np.cumsum(np.append(True, (group[1:] != group[:-1]) | (mask[1:] != mask[:-1])))
+            if joined:
+                label = trie_joins(fp, places, budget)
+                i = np.flatnonzero(label != np.arange(len(label)))
+                yield pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[label[i]].view(np.int64))], ["u", "v"])
+                continue
+            i, j = trie_pairs(fp, places, budget)
             x = fp[i] ^ fp[j]
             #: Pairs inside a chunk are the task's that holds the chunk alone.
             first = (chunk[i] != chunk[j]) | alone[i].astype(bool)
@@ -147,11 +187,11 @@ def hex_of(column: str):
     return F.lpad(F.lower(F.hex(column)), 16, "0")
 
 
-def group(docs: DataFrame, size: int = 3, budget: int = 2) -> DataFrame:
-    """doc_id, fingerprint, component_id: the least doc_id among all that are reached over links."""
+def group(docs: DataFrame, size: int = 3, budget: int = 2, **dealt) -> DataFrame:
+    """doc_id, fingerprint, component_id: the least doc_id among all that are reached over links; ``dealt`` are options of :func:`links`."""
     prints = C.written(fingerprints(docs, size), "fingerprints")
     nodes = C.written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    stars = components(links(nodes.select("fp"), budget))
+    stars = components(links(nodes.select("fp"), budget, **dealt))
     rooted = nodes.join(stars, nodes["fp"] == stars["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", hex_of("fp").alias("fingerprint"), "component_id")
@@ -374,6 +414,25 @@ def _cluster_links(clusters: DataFrame, needed: DataFrame, size: int, similarity
     return light.unionByName(found).unionByName(checked(last))
 
 
+def print_clusters(texts: DataFrame) -> DataFrame:
+    """leader, node: texts (node, text) of one component of the trie self-join of their fingerprints, if it has others; the leader is its least node."""
+    found = group(texts.select(F.col("node").alias("doc_id"), "text"), PRINT_SIZE, PRINT_BUDGET, agree=AGREE, joined=True)
+    found = C.written(found.select(F.col("component_id").alias("leader"), F.col("doc_id").alias("node")).distinct(), "components")
+    return found.join(found.filter("leader <> node").select("leader").distinct(), "leader", "left_semi")
+
+
+def rare_clusters(texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """leader, node: texts (node, text) that share one of their rarest shingles and can be similar, around the least node."""
+    posted = texts.mapInArrow(_postings(_frequencies(texts.select("text"), size), size, similarity), "token long, node long, n int, pos int")
+    return posted.repartition("token").sortWithinPartitions("token").mapInArrow(_clusters(similarity), "leader long, node long").distinct()
+
+
+def _apart(clusters: DataFrame, stars: DataFrame) -> DataFrame:
+    """The clusters whose texts aren't all joined yet."""
+    rooted = clusters.join(stars.select(F.col("u").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return clusters.join(rooted.groupBy("leader").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high"), "leader", "left_semi")
+
+
 NO_ID = (1 << 63) - 1
 
 
@@ -383,21 +442,25 @@ def standing(docs: DataFrame, size: int = 5, similarity: float = 0.8, hot_bytes:
     Groups are exact copies, and texts whose Jaccard similarity of distinct word shingles of ``size`` words is at least ``similarity``, joined
     over all such pairs; the least id stands, of several texts with that id the least node. A null id counts as NO_ID, after all others.
 
-    Only exact copies are one node, named by 64 bits of their MD5. Two texts similar enough share a shingle among the rarest of each (prefix
-    filter; any order of shingles is right, rarest first keeps groups small), so all links lie within clusters of texts around a leader, where
-    they are compared word by word. What grows with the corpus is joined by a shuffle at every size.
+    Only exact copies are one node, named by 64 bits of their MD5. Nodes meet by SimHash: :func:`group` joins fingerprints within PRINT_BUDGET
+    bits by its trie self-join, and the texts of a component are compared word by word. No budget of bits holds all similar texts, so an exact way
+    finds the rest: two texts similar enough share a shingle among the rarest of each (prefix filter; any order of shingles is right, rarest first
+    keeps groups small), so all links lie within clusters of texts around a leader; those that SimHash hasn't joined as a whole are compared
+    too. What grows with the corpus is joined by a shuffle at every size.
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), C.text_of(docs).alias("text"))
     texts = texts.withColumn("node", node_of(F.col("text")))
     keys = C.written(texts.groupBy("id", "node").agg(F.count(F.lit(1)).alias("n")), "text-keys")
-    posted = texts.select("node", "text").mapInArrow(_postings(_frequencies(texts.select("text"), size), size, similarity), "token long, node long, n int, pos int")
-    clusters = C.written(posted.repartition("token").sortWithinPartitions("token").mapInArrow(_clusters(similarity), "leader long, node long").distinct(), "clusters")
+    near = C.written(print_clusters(texts.select("node", "text")), "print-clusters")
+    rare = C.written(rare_clusters(texts.select("node", "text"), size, similarity), "clusters")
     #: One row of each node's copies by its id, so that copies aren't brought together.
     least = C.written(keys.groupBy("node").agg(F.min("id").alias("id")), "least")
-    wanted = least.join(clusters.select("node").distinct(), "node", "left_semi")
+    wanted = least.join(near.select("node").unionByName(rare.select("node")).distinct(), "node", "left_semi")
     needed = texts.join(wanted.hint("merge"), ["id", "node"], "left_semi").dropDuplicates(["node"])
     needed = C.written(needed.select("node", "text", F.octet_length("text").cast("long").alias("n_bytes")), "needed")
-    stars = components(_cluster_links(clusters, needed, size, similarity, hot_bytes or HOT_BYTES))
+    found = C.written(_cluster_links(near, needed, size, similarity, hot_bytes or HOT_BYTES), "print-links")
+    rest = C.written(_apart(rare, components(found)), "apart")
+    stars = components(found.unionByName(_cluster_links(rest, needed, size, similarity, hot_bytes or HOT_BYTES)))
     rooted = C.written(least.join(stars, F.col("node") == F.col("u"), "left").select("node", "id", F.coalesce("root", "node").alias("root")), "texts")
     kept = rooted.groupBy("root").agg(F.min(F.struct("id", "node")).alias("keep"))
     named = rooted.join(kept, "root").select("node", F.col("keep.id").alias("keep_id"), F.col("keep.node").alias("keep_node"))

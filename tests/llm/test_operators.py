@@ -10,6 +10,7 @@ import tracemalloc
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import duckdb
 import numpy as np
 import pytest
@@ -390,6 +391,66 @@ def test_links_over_masks(spark, monkeypatch):
     assert got == Counter(frozenset((signed(a), signed(b))) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= 3)
 
 
+def joined_by_brute_force(prints, budget):
+    groups = brute.Union(range(len(prints)))
+    for a in range(len(prints)):
+        for b in np.flatnonzero(np.bitwise_count(prints[a + 1 :] ^ prints[a]) <= budget):
+            groups.link(a, a + 1 + int(b))
+    return [groups.find(x) for x in range(len(prints))]
+
+
+def test_trie_joins_match_brute_force(monkeypatch):
+    own = random.Random(8)
+    prints = np.unique(np.array([own.getrandbits(14) << 50 | own.getrandbits(5) for _ in range(1500)], np.uint64))
+    for frontier in (simhash.FRONTIER, 20):
+        monkeypatch.setattr(simhash, "FRONTIER", frontier)
+        for budget in (0, 1, 2, 4):
+            assert simhash.trie_joins(prints, np.zeros(len(prints), np.int64), budget).tolist() == joined_by_brute_force(prints, budget)
+    half = len(prints) // 2
+    got = simhash.trie_joins(prints, np.repeat([0, 1], [half, len(prints) - half]), 2).tolist()
+    assert got == joined_by_brute_force(prints[:half], 2) + [half + x for x in joined_by_brute_force(prints[half:], 2)]
+    assert simhash.trie_joins(prints[:0], np.zeros(0, np.int64), 2).tolist() == []
+
+
+def test_joined_links_over_masks_of_blocks(spark):
+    own = random.Random(9)
+    masks = simhash.block_masks(6, 2)
+    assert len(masks) == 28
+    for _ in range(2000):
+        x = sum(1 << b for b in own.sample(range(64), 6))
+        assert any(not x & m for m in masks)
+    base = [own.getrandbits(64) for _ in range(40)]
+    prints = np.unique(np.array([b ^ sum(1 << x for x in own.sample(range(64), own.randint(0, 9))) for b in base for _ in range(8)], np.uint64))
+    df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    place = {int(x): i for i, x in enumerate(prints.view(np.int64))}
+    for hot in (None, 5):
+        groups = brute.Union(range(len(prints)))
+        for r in simhash.links(df, 6, hot=hot, agree=2, joined=True).collect():
+            groups.link(place[r.u], place[r.v])
+        assert [groups.find(x) for x in range(len(prints))] == joined_by_brute_force(prints, 6)
+
+
+def test_near_duplicates_by_fingerprints(spark, monkeypatch):
+    """SimHash alone joins the similar texts within its budget of bits; those beyond it are left to the prefix filter."""
+    own, texts = random.Random(10), []
+    for i in range(40):
+        base = [own.choice("abcdefghij") + str(own.randint(0, 400)) for _ in range(300)]
+        copy = list(base)
+        for at in own.sample(range(300), 1 + i % 6):
+            copy[at] = "changed"
+        texts += [" ".join(base), " ".join(copy)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bits = [(brute.fingerprint(texts[i]) ^ brute.fingerprint(texts[i + 1])).bit_count() for i in range(0, 80, 2)]
+    want = brute.similar_groups(rows)
+    within = {2 * i + 1 for i, n in enumerate(bits) if n <= simhash.PRINT_BUDGET and 2 * i + 1 in want}
+    assert 20 <= len(within) < len(want)
+    kept = lambda: {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()}
+    assert set(range(80)) - kept() == set(want)
+    monkeypatch.setattr(simhash, "_clusters", lambda similarity: lambda batches: (b for b in batches if False))
+    assert set(range(80)) - kept() == within
+
+
 def test_near_duplicates(spark):
     words = lambda n: [draw.choice("abcdefghij") + str(draw.randint(0, 400)) for _ in range(n)]
     base = [words(300) for _ in range(12)]
